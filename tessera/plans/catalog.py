@@ -58,3 +58,246 @@ def q_knn_predict(spark, d):
 def q_knn_metrics(spark, d):
     m = regression_metrics(q_knn_predict(spark, d), "rating", "prediction")
     return m.select("n", *[F.bround(c, 9).alias(c) for c in ("rmse", "mae", "r2")])
+
+
+# ------------------------------------------------ phase 2: repair and profiling
+from datetime import datetime  # noqa: E402
+
+from tessera.operators import clean  # noqa: E402
+from tessera.sources.tables import labelled_documents, load  # noqa: E402
+
+CUTOFF = datetime(2000, 1, 1)
+
+
+def time_split(spark: SparkSession, d: str):
+    """Ratings of orders placed before the cutoff, and the distinct
+    (user, item) pairs of later orders: later pairs can name unknown items."""
+    li = load(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    od = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    j = li.join(od, li.l_orderkey == od.o_orderkey)
+    early = j.filter(F.col("o_orderdate") < F.lit(CUTOFF))
+    late = j.filter(F.col("o_orderdate") >= F.lit(CUTOFF))
+    train = (early.groupBy(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"))
+             .agg(F.ceil(F.avg("l_quantity") / 10).cast("int").alias("rating")))
+    pairs = late.select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id")).distinct()
+    return train, pairs
+
+
+@register("missing_keys_in_training")
+def q_missing(spark, d):
+    train, pairs = time_split(spark, d)
+    users = clean.missing_keys(pairs, train, "user_id").agg(F.count(F.lit(1)).alias("missing_users"))
+    items = clean.missing_keys(pairs, train, "item_id").agg(F.count(F.lit(1)).alias("missing_items"))
+    # two one-row aggregates side by side
+    return users.select(F.lit(1).alias("k"), "missing_users").join(
+        items.select(F.lit(1).alias("k"), "missing_items"), "k").drop("k")
+
+
+@register("repair_unknown_items")
+def q_repair(spark, d):
+    train, pairs = time_split(spark, d)
+    repaired = clean.repair_unknown(pairs.withColumn("old_item", F.col("item_id")), train)
+    return repaired.select("user_id", "old_item", "item_id")
+
+
+@register("replace_values")
+def q_replace(spark, d):
+    # B3 with a literal mapping, as in the reference (three items mapped).
+    train, _ = rating_split(spark, d)
+    return clean.replace_values(train, "item_id", {1: 2, 2: 3, 3: 1}).select("user_id", "item_id", "rating")
+
+
+@register("filter_user")
+def q_filter_user(spark, d):
+    return clean.filter_equal(ratings_from_orders(spark, d), "user_id", 7)
+
+
+@register("null_profile")
+def q_null_profile(spark, d):
+    train, test = rating_split(spark, d)
+    ev = knn_predict(test, lattice_neighbors(train, test, 1.5), keep_evidence=True)
+    return clean.null_profile(ev.select("user_id", "item_id", "rating", "pair_rating", "user_rating"))
+
+
+@register("column_info")
+def q_column_info(spark, d):
+    return clean.column_info(load(spark, d, "documents"))
+
+
+@register("numeric_coercion")
+def q_numeric(spark, d):
+    pages = load(spark, d, "pages").select("page_id", F.element_at(F.split("url", "/"), -1).alias("tail"))
+    return clean.coerce_numeric(pages, "tail").withColumnRenamed("tail", "url_number")
+
+
+def part_profit(spark: SparkSession, d: str):
+    """B9-B10 on items: budget = retail price, revenue = discounted sales,
+    profit = budget - revenue (sign as in the reference)."""
+    li = load(spark, d, "lineitem")
+    revenue = li.groupBy("l_partkey").agg(
+        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+    part = load(spark, d, "part")
+    return (part.join(revenue, part.p_partkey == revenue.l_partkey, "left")
+            .select("p_partkey", "p_name", "p_brand", "p_type", "p_size",
+                    F.col("p_retailprice").alias("budget"), "revenue")
+            .withColumn("profit", F.col("budget") - F.col("revenue")))
+
+
+@register("derived_profit")
+def q_profit(spark, d):
+    return part_profit(spark, d).select("p_partkey", *[F.bround(c, 4).alias(c) for c in ("budget", "revenue", "profit")])
+
+
+@register("dedupe_keep_first")
+def q_dedupe(spark, d):
+    kept = clean.keep_first(part_profit(spark, d), ["p_name"],
+                            [F.desc_nulls_last("profit"), F.asc("p_partkey")])
+    return kept.select("p_name", "p_partkey", F.bround("profit", 4).alias("profit"))
+
+
+@register("drop_nulls")
+def q_drop_nulls(spark, d):
+    train, test = rating_split(spark, d)
+    ev = knn_predict(test, lattice_neighbors(train, test, 1.5), keep_evidence=True)
+    return clean.drop_nulls(ev.select("user_id", "item_id", "pair_rating", "user_rating"))
+
+
+# ------------------------------------------------------------- phase 2: splits
+from tessera.operators.splits import add_fold, prefix_split  # noqa: E402
+
+
+@register("fold_sizes")
+def q_fold_sizes(spark, d):
+    return (add_fold(ratings_from_orders(spark, d), KEYS, 10).groupBy("fold")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("prefix_split")
+def q_prefix_split(spark, d):
+    docs = load(spark, d, "documents").select("doc_id")
+    return prefix_split(docs, "doc_id", 400, salt="shuffle")
+
+
+# ----------------------------------------------------------- phase 4: text
+from tessera.operators import textstats as ts  # noqa: E402
+
+
+def doc_words(spark, d, clean_words: bool):
+    return ts.doc_tokens(load(spark, d, "documents"), clean=clean_words)
+
+
+@register("word_freq_raw")
+def q_word_freq_raw(spark, d):
+    return ts.word_freq(doc_words(spark, d, False))
+
+
+@register("word_freq_clean")
+def q_word_freq_clean(spark, d):
+    return ts.word_freq(doc_words(spark, d, True))
+
+
+@register("freq_summary")
+def q_freq_summary(spark, d):
+    raw = ts.freq_summary(ts.word_freq(doc_words(spark, d, False))).withColumn("stage", F.lit("raw"))
+    cln = ts.freq_summary(ts.word_freq(doc_words(spark, d, True))).withColumn("stage", F.lit("clean"))
+    return raw.unionByName(cln)
+
+
+@register("top_words")
+def q_top_words(spark, d):
+    return ts.most_common(ts.word_freq(doc_words(spark, d, True)), 10)
+
+
+@register("rank_range_words")
+def q_rank_range(spark, d):
+    return ts.rank_range(ts.word_freq(doc_words(spark, d, True)), 1991, 2000)
+
+
+@register("corpus_counts")
+def q_corpus_counts(spark, d):
+    lab = ts.doc_tokens(labelled_documents(spark, d), keep=["label"])
+    return ts.corpus_counts(lab)
+
+
+@register("word_degrees")
+def q_word_degrees(spark, d):
+    return ts.word_degrees(load(spark, d, "documents"))
+
+
+@register("key_words")
+def q_key_words(spark, d):
+    return ts.key_words(load(spark, d, "documents"), 10)
+
+
+@register("tfidf_top_terms")
+def q_tfidf(spark, d):
+    scored = ts.tfidf(doc_words(spark, d, True))
+    return ts.top_terms(scored, 5).select("doc_id", "rank", "term", "tf", "df",
+                                          F.bround("tfidf", 6).alias("tfidf"))
+
+
+# ------------------------------------------------------ phase 4: naive Bayes
+from tessera.operators import classify as nb  # noqa: E402
+from tessera.functions.columns import key_hash_bucket  # noqa: E402
+
+
+def nb_inputs(spark, d):
+    docs = ts.doc_tokens(labelled_documents(spark, d), clean=True, keep=["label"])
+    docs = docs.withColumn("is_test", key_hash_bucket(["doc_id"], 5, "nb") == 0)
+    vocab = nb.vocabulary(docs, 2000)
+    present = nb.presence(docs, vocab, keep=["label", "is_test"])
+    train_docs = docs.filter(~F.col("is_test")).select("doc_id", "label")
+    model = nb.fit_nb(present.filter(~F.col("is_test")), train_docs, vocab)
+    return docs, vocab, present, model
+
+
+@register("presence_features")
+def q_presence(spark, d):
+    docs = ts.doc_tokens(labelled_documents(spark, d), clean=True, keep=["label"])
+    return nb.presence(docs, nb.vocabulary(docs, 2000))
+
+
+@register("nb_class_word_counts")
+def q_nb_counts(spark, d):
+    docs, vocab, present, model = nb_inputs(spark, d)
+    return nb.class_word_counts(present.filter(~F.col("is_test")))
+
+
+@register("nb_priors")
+def q_nb_priors(spark, d):
+    model = nb_inputs(spark, d)[3]
+    return model.class_stats.select("label", "n_docs", F.bround("prior", 9).alias("prior"))
+
+
+@register("nb_likelihoods")
+def q_nb_likelihoods(spark, d):
+    model = nb_inputs(spark, d)[3]
+    return model.theta.select("label", "word", "n_cw", F.bround("theta", 9).alias("theta"))
+
+
+def nb_predicted(spark, d):
+    docs, vocab, present, model = nb_inputs(spark, d)
+    pred = nb.predict_nb(model, present, docs.select("doc_id"))
+    return docs.select("doc_id", "label", "is_test").join(pred, "doc_id"), model
+
+
+@register("nb_predictions")
+def q_nb_predictions(spark, d):
+    pred, model = nb_predicted(spark, d)
+    return pred.filter("is_test").select("doc_id", "label", "prediction",
+                                         *[F.bround(f"p_{c}", 6).alias(f"p_{c}") for c in model.classes])
+
+
+@register("nb_accuracy")
+def q_nb_accuracy(spark, d):
+    pred, _ = nb_predicted(spark, d)
+    return (pred.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"),
+                                        F.bround(F.avg((F.col("prediction") == F.col("label")).cast("double")), 9)
+                                        .alias("accuracy")))
+
+
+@register("nb_informative")
+def q_nb_informative(spark, d):
+    model = nb_inputs(spark, d)[3]
+    return nb.informative_features(model, 10).select("word", "present", F.bround("ratio", 6).alias("ratio"),
+                                                     "label_max")

@@ -65,3 +65,183 @@ ORACLE: dict[str, str] = {
                     "(CAST(SUM(rating * rating) AS DOUBLE) - CAST(SUM(rating) AS DOUBLE) * SUM(rating) / COUNT(*)), 9) AS r2 "
                     "FROM pred"),
 }
+
+
+# ------------------------------------------------------------------ phase 2
+KNN_EV = (f"WITH {SPLIT}, {NEIGHBORS}, "
+          "bp AS (SELECT test_user, test_item, rating FROM (SELECT *, row_number() OVER "
+          "(PARTITION BY test_user, test_item ORDER BY dist, train_user, train_item) AS rn FROM nb) WHERE rn = 1), "
+          "bu AS (SELECT test_user, rating FROM (SELECT *, row_number() OVER "
+          "(PARTITION BY test_user ORDER BY dist, train_user, train_item, test_item) AS rn FROM nb) WHERE rn = 1), "
+          "ev AS (SELECT p.user_id, p.item_id, p.rating, bp.rating AS pair_rating, bu.rating AS user_rating "
+          "FROM test p LEFT JOIN bp ON bp.test_user = p.user_id AND bp.test_item = p.item_id "
+          "LEFT JOIN bu ON bu.test_user = p.user_id)")
+
+TIME_SPLIT = ("j AS (SELECT o_custkey AS user_id, l_partkey AS item_id, l_quantity, o_orderdate "
+              "FROM lineitem JOIN orders ON l_orderkey = o_orderkey), "
+              "train AS (SELECT user_id, item_id, CAST(CEIL(AVG(l_quantity) / 10) AS INT) AS rating FROM j "
+              "WHERE o_orderdate < TIMESTAMP '2000-01-01' GROUP BY 1, 2), "
+              "pairs AS (SELECT DISTINCT user_id, item_id FROM j WHERE o_orderdate >= TIMESTAMP '2000-01-01')")
+
+REPAIR = (f"WITH {TIME_SPLIT}, "
+          "unknown AS (SELECT item_id FROM pairs EXCEPT SELECT item_id FROM train), "
+          "owners AS (SELECT item_id, MIN(user_id) AS user_id FROM pairs WHERE item_id IN (SELECT item_id FROM unknown) "
+          "GROUP BY item_id), "
+          "ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS pick FROM owners), "
+          "picks AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY "
+          "md5('pick|' || CAST(user_id AS VARCHAR) || '|' || CAST(item_id AS VARCHAR)), item_id) AS pick "
+          "FROM train WHERE user_id IN (SELECT user_id FROM owners)), "
+          "mapping AS (SELECT r.item_id AS old, p.item_id AS new FROM ranked r JOIN picks p USING (user_id, pick)) "
+          "SELECT pairs.user_id, pairs.item_id AS old_item, COALESCE(mapping.new, pairs.item_id) AS item_id "
+          "FROM pairs LEFT JOIN mapping ON pairs.item_id = mapping.old")
+
+PROFIT = ("rev AS (SELECT l_partkey, SUM(l_extendedprice * (1 - l_discount)) AS revenue FROM lineitem GROUP BY 1), "
+          "pp AS (SELECT p_partkey, p_name, p_retailprice AS budget, revenue, p_retailprice - revenue AS profit "
+          "FROM part LEFT JOIN rev ON p_partkey = l_partkey)")
+
+
+def null_pct(cols: list[str], rel: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", round_even(CAST(100.0 AS DOUBLE) * (COUNT(*) - COUNT({c})) / COUNT(*), 2) "
+        f"AS null_pct FROM {rel}" for c in cols)
+
+
+DOC_COLS = [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint")]
+COLUMN_INFO = ("WITH c AS (SELECT COUNT(*) AS rows, " + ", ".join(f"COUNT({n}) AS c{i}" for i, (n, _) in enumerate(DOC_COLS))
+               + " FROM documents) " + " UNION ALL ".join(
+                   f"SELECT {i + 1} AS position, '{n}' AS \"column\", '{t}' AS dtype, c{i} AS non_null, rows FROM c"
+                   for i, (n, t) in enumerate(DOC_COLS)))
+
+ORACLE.update({
+    "missing_keys_in_training": (f"WITH {TIME_SPLIT} SELECT "
+                                 "(SELECT COUNT(*) FROM (SELECT user_id FROM pairs EXCEPT SELECT user_id FROM train)) "
+                                 "AS missing_users, "
+                                 "(SELECT COUNT(*) FROM (SELECT item_id FROM pairs EXCEPT SELECT item_id FROM train)) "
+                                 "AS missing_items"),
+    "repair_unknown_items": REPAIR,
+    "replace_values": (f"WITH {SPLIT} SELECT user_id, CAST(CASE item_id WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 1 "
+                       "ELSE item_id END AS BIGINT) AS item_id, rating FROM train"),
+    "filter_user": f"SELECT * FROM ({RATINGS}) WHERE user_id = 7",
+    "null_profile": f"{KNN_EV} {null_pct(['user_id', 'item_id', 'rating', 'pair_rating', 'user_rating'], 'ev')}",
+    "column_info": COLUMN_INFO,
+    "numeric_coercion": "SELECT page_id, TRY_CAST(string_split(url, '/')[-1] AS DOUBLE) AS url_number FROM pages",
+    "derived_profit": (f"WITH {PROFIT} SELECT p_partkey, round_even(budget, 4) AS budget, "
+                       "round_even(revenue, 4) AS revenue, round_even(profit, 4) AS profit FROM pp"),
+    "dedupe_keep_first": (f"WITH {PROFIT}, r AS (SELECT *, row_number() OVER (PARTITION BY p_name "
+                          "ORDER BY profit DESC NULLS LAST, p_partkey) AS rn FROM pp) "
+                          "SELECT p_name, p_partkey, round_even(profit, 4) AS profit FROM r WHERE rn = 1"),
+    "drop_nulls": (f"{KNN_EV} SELECT user_id, item_id, pair_rating, user_rating FROM ev "
+                   "WHERE pair_rating IS NOT NULL AND user_rating IS NOT NULL"),
+    "fold_sizes": (f"SELECT fold, COUNT(*) AS n FROM (SELECT {fold(['user_id', 'item_id'], 10)} AS fold "
+                   f"FROM ({RATINGS})) GROUP BY fold"),
+    "prefix_split": ("SELECT doc_id, row_number() OVER (ORDER BY md5('shuffle' || CAST(doc_id AS VARCHAR)), doc_id) "
+                     "<= 400 AS is_test FROM documents"),
+})
+
+
+# ------------------------------------------------------------------ phase 4: text
+def tok(text: str = "text") -> str:
+    from tessera.functions.constants import TOKEN_PATTERN
+    return f"regexp_extract_all(lower({text}), '{TOKEN_PATTERN}')"
+
+
+def brk(w: str) -> str:
+    return f"(list_contains({STOP_LIST}, {w}) OR instr({PUNCT_LIT}, {w}) > 0)"
+
+
+RAW_FREQ = f"raw AS (SELECT word, COUNT(*) AS n FROM (SELECT unnest({tok()}) AS word FROM documents) GROUP BY word)"
+CLEAN_FREQ = (f"cl AS (SELECT word, COUNT(*) AS n FROM (SELECT unnest({tok()}) AS word FROM documents) "
+              f"WHERE NOT {brk('word')} GROUP BY word)")
+POS_TOKENS = (f"t AS (SELECT doc_id, unnest({tok()}) AS w, generate_subscripts({tok()}, 1) AS pos FROM documents)")
+
+
+def ranked_words(first: int, last: int) -> str:
+    return (f"WITH {CLEAN_FREQ}, r AS (SELECT word, n, CAST(row_number() OVER (ORDER BY n DESC, word) AS INT) AS rank "
+            f"FROM cl) SELECT word, n, rank FROM r WHERE rank BETWEEN {first} AND {last}")
+
+
+ORACLE.update({
+    "word_freq_raw": f"WITH {RAW_FREQ} SELECT * FROM raw",
+    "word_freq_clean": f"WITH {CLEAN_FREQ} SELECT * FROM cl",
+    "freq_summary": (f"WITH {RAW_FREQ}, {CLEAN_FREQ} "
+                     "SELECT COUNT(*) AS samples, CAST(SUM(n) AS BIGINT) AS outcomes, 'raw' AS stage FROM raw "
+                     "UNION ALL SELECT COUNT(*), CAST(SUM(n) AS BIGINT), 'clean' FROM cl"),
+    "top_words": ranked_words(1, 10),
+    "rank_range_words": ranked_words(1991, 2000),
+    "corpus_counts": (f"SELECT label, COUNT(*) AS documents, CAST(SUM(len({tok('d.text')})) AS BIGINT) AS words "
+                      "FROM documents d JOIN (SELECT doc_id, CAST(quality AS INT) AS label FROM labels) l "
+                      "USING (doc_id) GROUP BY ROLLUP (label)"),
+    "word_degrees": (f"WITH {POS_TOKENS}, "
+                     f"g AS (SELECT doc_id, pos, w, {brk('w')} AS br FROM t), "
+                     "h AS (SELECT *, SUM(CASE WHEN br THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos "
+                     "ROWS UNBOUNDED PRECEDING) AS ph FROM g), "
+                     "p AS (SELECT doc_id, ph, COUNT(*) AS plen FROM h WHERE NOT br GROUP BY doc_id, ph) "
+                     "SELECT h.doc_id, h.w AS word, CAST(SUM(p.plen) AS BIGINT) AS degree "
+                     "FROM h JOIN p USING (doc_id, ph) WHERE NOT h.br GROUP BY h.doc_id, h.w"),
+    "key_words": (f"WITH {POS_TOKENS}, "
+                  f"c AS (SELECT doc_id, w, MIN(pos) AS first_pos FROM t WHERE NOT {brk('w')} GROUP BY doc_id, w), "
+                  "r AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY first_pos) AS rk FROM c) "
+                  "SELECT doc_id, CAST(rk AS INT) AS kw_rank, w AS word FROM r WHERE rk <= 10"),
+    "tfidf_top_terms": (f"WITH c AS (SELECT doc_id, term FROM (SELECT doc_id, unnest({tok()}) AS term FROM documents) "
+                        f"WHERE NOT {brk('term')}), "
+                        "tf AS (SELECT doc_id, term, COUNT(*) AS tf FROM c GROUP BY doc_id, term), "
+                        "df AS (SELECT term, COUNT(*) AS df FROM tf GROUP BY term), "
+                        "nd AS (SELECT COUNT(*) AS n FROM documents), "
+                        "s AS (SELECT tf.doc_id, tf.term, tf.tf, df.df, "
+                        "tf.tf * ln((CAST(nd.n AS DOUBLE) + 1.0) / (df.df + 1)) AS tfidf "
+                        "FROM tf JOIN df USING (term) CROSS JOIN nd), "
+                        "r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tfidf DESC, term) AS rank "
+                        "FROM s) "
+                        "SELECT doc_id, CAST(rank AS INT) AS rank, term, tf, df, round_even(tfidf, 6) AS tfidf "
+                        "FROM r WHERE rank <= 5"),
+})
+
+
+# ------------------------------------------------------------------ phase 4: naive Bayes
+NB = ("WITH docs AS (SELECT d.doc_id, CAST(l.quality AS INT) AS label, "
+      f"{fold(['d.doc_id'], 5, 'nb')} = 0 AS is_test, "
+      f"list_filter({tok('d.text')}, lambda w: NOT {brk('w')}) AS tokens "
+      "FROM documents d JOIN labels l ON d.doc_id = l.doc_id), "
+      "words AS (SELECT doc_id, label, is_test, unnest(tokens) AS word FROM docs), "
+      "freq AS (SELECT word, COUNT(*) AS n FROM words GROUP BY word), "
+      "vocab AS (SELECT word FROM freq ORDER BY n DESC, word LIMIT 2000), "
+      "present AS (SELECT DISTINCT w.doc_id, w.label, w.is_test, w.word FROM words w JOIN vocab v ON w.word = v.word), "
+      "classes AS (SELECT label, COUNT(*) AS n_docs FROM docs WHERE NOT is_test GROUP BY label), "
+      "stats AS (SELECT label, n_docs, (CAST(n_docs AS DOUBLE) + 0.5) / "
+      "(SUM(n_docs) OVER () + 0.5 * (SELECT COUNT(*) FROM classes)) AS prior FROM classes), "
+      "counts AS (SELECT label, word, COUNT(*) AS n_cw FROM present WHERE NOT is_test GROUP BY label, word), "
+      "theta AS (SELECT c.label, v.word, COALESCE(k.n_cw, 0) AS n_cw, "
+      "(CAST(COALESCE(k.n_cw, 0) AS DOUBLE) + 0.5) / (CAST(c.n_docs AS DOUBLE) + 1.0) AS theta "
+      "FROM classes c CROSS JOIN vocab v LEFT JOIN counts k ON k.label = c.label AND k.word = v.word), "
+      "base AS (SELECT s.label, ln(s.prior) + SUM(ln(1 - t.theta)) AS base FROM stats s JOIN theta t "
+      "ON s.label = t.label GROUP BY s.label, s.prior), "
+      "delta AS (SELECT p.doc_id, t.label, SUM(ln(t.theta) - ln(1 - t.theta)) AS d FROM present p JOIN theta t "
+      "ON p.word = t.word GROUP BY p.doc_id, t.label), "
+      "scores AS (SELECT d.doc_id, b.label AS cls, b.base + COALESCE(x.d, 0) AS score FROM docs d CROSS JOIN base b "
+      "LEFT JOIN delta x ON x.doc_id = d.doc_id AND x.label = b.label), "
+      "ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, cls) AS rn, "
+      "MAX(score) OVER (PARTITION BY doc_id) AS m FROM scores), "
+      "probs AS (SELECT doc_id, MAX(CASE WHEN rn = 1 THEN cls END) AS prediction, SUM(exp(score - m)) AS z, "
+      "MAX(CASE WHEN cls = 0 THEN exp(score - m) END) AS e0, MAX(CASE WHEN cls = 1 THEN exp(score - m) END) AS e1 "
+      "FROM ranked GROUP BY doc_id)")
+
+ORACLE.update({
+    "presence_features": f"{NB} SELECT doc_id, word FROM present",
+    "nb_class_word_counts": f"{NB} SELECT label, word, n_cw FROM counts",
+    "nb_priors": f"{NB} SELECT label, n_docs, round_even(prior, 9) AS prior FROM stats",
+    "nb_likelihoods": f"{NB} SELECT label, word, n_cw, round_even(theta, 9) AS theta FROM theta",
+    "nb_predictions": (f"{NB} SELECT d.doc_id, d.label, p.prediction, round_even(p.e0 / p.z, 6) AS p_0, "
+                       "round_even(p.e1 / p.z, 6) AS p_1 FROM docs d JOIN probs p ON d.doc_id = p.doc_id "
+                       "WHERE d.is_test"),
+    "nb_accuracy": (f"{NB} SELECT d.is_test, COUNT(*) AS n, "
+                    "round_even(AVG(CAST(p.prediction = d.label AS DOUBLE)), 9) AS accuracy "
+                    "FROM docs d JOIN probs p ON d.doc_id = p.doc_id GROUP BY d.is_test"),
+    "nb_informative": (f"{NB}, pv AS (SELECT word, label, TRUE AS present, theta AS p FROM theta UNION ALL "
+                       "SELECT word, label, FALSE AS present, 1 - theta AS p FROM theta), "
+                       "lm AS (SELECT word, present, label AS label_max FROM (SELECT *, row_number() OVER "
+                       "(PARTITION BY word, present ORDER BY p DESC, label) AS rn FROM pv) WHERE rn = 1), "
+                       "ag AS (SELECT word, present, MAX(p) / MIN(p) AS ratio FROM pv GROUP BY word, present) "
+                       "SELECT ag.word, ag.present, round_even(ag.ratio, 6) AS ratio, lm.label_max FROM ag "
+                       "JOIN lm ON ag.word = lm.word AND ag.present = lm.present "
+                       "ORDER BY ag.ratio DESC, ag.word, ag.present DESC LIMIT 10"),
+})
