@@ -301,3 +301,211 @@ def q_nb_informative(spark, d):
     model = nb_inputs(spark, d)[3]
     return nb.informative_features(model, 10).select("word", "present", F.bround("ratio", 6).alias("ratio"),
                                                      "label_max")
+
+
+# ------------------------------------------------------- phase 3: regression
+from tessera.operators import regress  # noqa: E402
+from tessera.operators.neighbors import lsh_similarity_join  # noqa: E402
+
+
+@register("ridge_coefficients")
+def q_ridge_coefficients(spark, d):
+    train, _ = rating_split(spark, d)
+    model = regress.fit_ridge(train, ["user_id", "item_id"], "rating", 0.3)
+    return model.coefficients().select("term", F.bround("value", 9).alias("value"))
+
+
+@register("ridge_closed_form")
+def q_ridge_closed(spark, d):
+    train, _ = rating_split(spark, d)
+    cf = regress.ridge_closed_form(train, "user_id", "item_id", "rating", 0.3)
+    return cf.select(*[F.bround(c, 9).alias(c) for c in ("b1", "b2", "b0")])
+
+
+@register("ridge_predictions")
+def q_ridge_predictions(spark, d):
+    train, test = rating_split(spark, d)
+    model = regress.fit_ridge(train, ["user_id", "item_id"], "rating", 0.3)
+    return model.transform(test).select("user_id", "item_id", "rating", F.bround("prediction", 6).alias("prediction"))
+
+
+@register("ridge_metrics")
+def q_ridge_metrics(spark, d):
+    train, _ = rating_split(spark, d)
+    model = regress.fit_ridge(train, ["user_id", "item_id"], "rating", 0.3)
+    m = regression_metrics(model.transform(train), "rating", "prediction")
+    return m.select("n", *[F.bround(c, 6).alias(c) for c in ("rmse", "mae", "r2")])
+
+
+@register("ridge_summary")
+def q_ridge_summary(spark, d):
+    train, _ = rating_split(spark, d)
+    return regress.fit_ridge(train, ["user_id", "item_id"], "rating", 0.3).summary_rows()
+
+
+@register("forest_predictions")
+def q_forest_predictions(spark, d):
+    train, test = rating_split(spark, d)
+    model = regress.fit_forest(train, ["user_id", "item_id"], "rating")
+    return model.transform(test).select("user_id", "item_id", "rating", "prediction")
+
+
+@register("forest_importances")
+def q_forest_importances(spark, d):
+    train, _ = rating_split(spark, d)
+    return regress.fit_forest(train, ["user_id", "item_id"], "rating").importances()
+
+
+@register("lsh_neighbors")
+def q_lsh_neighbors(spark, d):
+    train, test = rating_split(spark, d)
+    a = train.select("user_id", "item_id", "rating", F.array(F.col("user_id").cast("double"),
+                                                          F.col("item_id").cast("double")).alias("features"))
+    b = test.select("user_id", "item_id", F.array(F.col("user_id").cast("double"),
+                                                   F.col("item_id").cast("double")).alias("features"))
+    j = lsh_similarity_join(a, b, 1.5, "features", bucket_length=5.0, num_tables=8, seed=42,
+                            a_cols=["user_id", "item_id", "rating"], b_cols=["user_id", "item_id"])
+    return j.select(F.col("b_user_id").alias("test_user"), F.col("b_item_id").alias("test_item"),
+                    F.col("a_user_id").alias("train_user"), F.col("a_item_id").alias("train_item"),
+                    F.col("a_rating").alias("rating"), F.bround("dist", 9).alias("dist"))
+
+
+# --------------------------------------------------- phase 6: factor models
+from tessera.operators import factors as fx  # noqa: E402
+from tessera.sources.tables import embedding_vectors  # noqa: E402
+
+
+@register("baseline_predictions")
+def q_baseline(spark, d):
+    train, test = rating_split(spark, d)
+    model = fx.fit_baseline(train)
+    return model.transform(test).select("user_id", "item_id", "rating", F.bround("prediction", 6).alias("prediction"))
+
+
+@register("baseline_cv")
+def q_baseline_cv(spark, d):
+    folded = add_fold(ratings_from_orders(spark, d), KEYS, 5, salt="cv")
+    train, test = fx.cv_copies(folded, "fold", 5)
+    pred = fx.fit_baseline(train, by=["cv_fold"]).transform(test)
+    e = F.col("prediction") - F.col("rating")
+    return pred.groupBy(F.col("cv_fold").alias("fold")).agg(
+        F.count(F.lit(1)).alias("n"), F.bround(F.sqrt(F.avg(e * e)), 6).alias("rmse"),
+        F.bround(F.avg(F.abs(e)), 6).alias("mae"))
+
+
+@register("als_predictions")
+def q_als(spark, d):
+    train, test = rating_split(spark, d)
+    model = fx.fit_factors(train, rank=50, reg=0.1, iters=10)
+    return model.transform(test).select("user_id", "item_id", "rating", "prediction", "prediction_int")
+
+
+@register("item_means")
+def q_item_means(spark, d):
+    return fx.item_mean(ratings_from_orders(spark, d)).select("item_id", F.bround("mean", 9).alias("mean"))
+
+
+@register("matrix_extent")
+def q_extent(spark, d):
+    return fx.matrix_extent(ratings_from_orders(spark, d))
+
+
+@register("utility_triples")
+def q_utility(spark, d):
+    li = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    od = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    ev = li.join(od, li.l_orderkey == od.o_orderkey).select(
+        F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"),
+        F.ceil(F.col("l_quantity") / 10).cast("int").alias("rating"), "o_orderdate", "l_orderkey", "l_linenumber")
+    # the line key is not unique in the data: the rating itself breaks the last ties
+    return fx.utility_triples(ev, ["o_orderdate", "l_orderkey", "l_linenumber", "rating"])
+
+
+@register("sparse_triples")
+def q_sparse(spark, d):
+    t = fx.dense_to_triples(embedding_vectors(spark, d), "item_id", "vec")
+    return t.select("item_id", "col", "value")
+
+
+@register("dense_roundtrip")
+def q_dense_roundtrip(spark, d):
+    ev = embedding_vectors(spark, d)
+    back = fx.triples_to_dense(fx.dense_to_triples(ev, "item_id", "vec"), "item_id", 64)
+    return ev.join(back.withColumnRenamed("vec", "back"), "item_id", "left").select(
+        "item_id", (F.col("vec") == F.col("back")).alias("same"))
+
+
+@register("embedding_covariance")
+def q_covariance(spark, d):
+    return fx.covariance(embedding_vectors(spark, d)).select("i", "j", F.bround("cov", 9).alias("cov"))
+
+
+@register("top_cosine_vectors")
+def q_top_cosine(spark, d):
+    return fx.top_cosine(embedding_vectors(spark, d), "item_id", 0, 10).select(
+        "item_id", F.bround("score", 6).alias("score"), "rank")
+
+
+@register("pca_item_factors")
+def q_pca(spark, d):
+    ev = embedding_vectors(spark, d)
+    comp = fx.fit_pca(ev, 16)
+    return fx.pca_scores(ev, comp, "item_id")
+
+
+@register("pca_top_cosine")
+def q_pca_top(spark, d):
+    ev = embedding_vectors(spark, d)
+    scores = fx.pca_scores(ev, fx.fit_pca(ev, 16), "item_id").withColumnRenamed("factors", "vec")
+    return fx.top_cosine(scores, "item_id", 0, 10)
+
+
+@register("als_item_top_cosine")
+def q_als_top(spark, d):
+    train, _ = rating_split(spark, d)
+    f = fx.fit_factors(train, rank=50, reg=0.1, iters=10).item_factors()
+    return fx.top_cosine(f, "item_id", 1, 10)
+
+
+# ------------------------------------------- phase 5: content-based on parts
+from tessera.operators import content  # noqa: E402
+from tessera.functions.parse import json_field, year_of  # noqa: E402
+
+
+def part_bags(spark, d):
+    part = load(spark, d, "part")
+    return content.bag_of_words(part, "p_partkey", lists=[F.array(F.lower("p_type"))],
+                                texts=[F.lower("p_brand")], numbers=["p_size"], keyword_text="p_name", k=10)
+
+
+@register("bag_of_words_parts")
+def q_bags(spark, d):
+    return part_bags(spark, d)
+
+
+@register("count_vectors_parts")
+def q_count_vectors(spark, d):
+    return content.count_vectors(part_bags(spark, d), "p_partkey")
+
+
+@register("recommend_similar_parts")
+def q_recommend(spark, d):
+    cv = content.count_vectors(part_bags(spark, d), "p_partkey")
+    return content.recommend_similar(cv, "p_partkey", 1, 10).select(
+        "p_partkey", F.bround("score", 6).alias("score"), "rank")
+
+
+@register("jaccard_to_query_part")
+def q_jaccard(spark, d):
+    cv = content.count_vectors(part_bags(spark, d), "p_partkey")
+    return content.jaccard_to_query(cv, "p_partkey", 1).select("p_partkey", F.bround("jaccard", 9).alias("jaccard"))
+
+
+@register("json_props_field")
+def q_json(spark, d):
+    return load(spark, d, "events").select("event_id", json_field("props", "$.k").cast("int").alias("k"))
+
+
+@register("order_year")
+def q_year(spark, d):
+    return load(spark, d, "orders").select("o_orderkey", year_of(F.col("o_orderdate").cast("string")).alias("year"))

@@ -245,3 +245,127 @@ ORACLE.update({
                        "JOIN lm ON ag.word = lm.word AND ag.present = lm.present "
                        "ORDER BY ag.ratio DESC, ag.word, ag.present DESC LIMIT 10"),
 })
+
+
+# ------------------------------------------------------------------ phase 3: ridge
+RIDGE = ("a AS (SELECT AVG(user_id) AS m1, AVG(item_id) AS m2, AVG(rating) AS my, stddev_pop(user_id) AS s1, "
+         "stddev_pop(item_id) AS s2, stddev_pop(rating) AS sy, corr(user_id, item_id) AS r12, "
+         "corr(user_id, rating) AS r1y, corr(item_id, rating) AS r2y FROM train), "
+         "l AS (SELECT *, 0.3 / sy AS lam FROM a), "
+         "w AS (SELECT *, ((1 + lam) * r1y - r12 * r2y) / ((1 + lam) * (1 + lam) - r12 * r12) AS w1, "
+         "((1 + lam) * r2y - r12 * r1y) / ((1 + lam) * (1 + lam) - r12 * r12) AS w2 FROM l), "
+         "b AS (SELECT w1 * sy / s1 AS b1, w2 * sy / s2 AS b2, "
+         "my - (w1 * sy / s1) * m1 - (w2 * sy / s2) * m2 AS b0 FROM w)")
+
+BASELINE = ("mu AS (SELECT AVG(rating) AS mu FROM train), "
+            "bi AS (SELECT item_id, SUM(rating - mu) / (CAST(10 AS DOUBLE) + COUNT(*)) AS b_i "
+            "FROM train CROSS JOIN mu GROUP BY item_id), "
+            "bu AS (SELECT t.user_id, SUM(t.rating - mu - bi.b_i) / (CAST(15 AS DOUBLE) + COUNT(*)) AS b_u "
+            "FROM train t JOIN bi ON t.item_id = bi.item_id CROSS JOIN mu GROUP BY t.user_id)")
+
+CV_BASELINE = (f"WITH ratings AS ({RATINGS}), "
+               f"f AS (SELECT *, {fold(['user_id', 'item_id'], 5, 'cv')} AS fold FROM ratings), "
+               "tr AS (SELECT f.user_id, f.item_id, f.rating, c.cv_fold FROM f CROSS JOIN "
+               "(SELECT CAST(range AS INT) AS cv_fold FROM range(5)) c WHERE c.cv_fold <> f.fold), "
+               "mu AS (SELECT cv_fold, AVG(rating) AS mu FROM tr GROUP BY cv_fold), "
+               "bi AS (SELECT tr.cv_fold, item_id, SUM(rating - mu) / (CAST(10 AS DOUBLE) + COUNT(*)) AS b_i "
+               "FROM tr JOIN mu ON tr.cv_fold = mu.cv_fold GROUP BY tr.cv_fold, item_id), "
+               "bu AS (SELECT tr.cv_fold, tr.user_id, SUM(tr.rating - mu.mu - bi.b_i) / (CAST(15 AS DOUBLE) + COUNT(*)) "
+               "AS b_u FROM tr JOIN mu ON tr.cv_fold = mu.cv_fold JOIN bi ON tr.cv_fold = bi.cv_fold "
+               "AND tr.item_id = bi.item_id GROUP BY tr.cv_fold, tr.user_id), "
+               "p AS (SELECT f.fold, f.rating, least(5.0, greatest(1.0, mu.mu + COALESCE(bu.b_u, 0) "
+               "+ COALESCE(bi.b_i, 0))) AS prediction FROM f JOIN mu ON mu.cv_fold = f.fold "
+               "LEFT JOIN bi ON bi.cv_fold = f.fold AND bi.item_id = f.item_id "
+               "LEFT JOIN bu ON bu.cv_fold = f.fold AND bu.user_id = f.user_id) "
+               "SELECT CAST(fold AS INT) AS fold, COUNT(*) AS n, "
+               "round_even(sqrt(AVG((prediction - rating) * (prediction - rating))), 6) AS rmse, "
+               "round_even(AVG(abs(prediction - rating)), 6) AS mae FROM p GROUP BY fold")
+
+EMB = "emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+EMB_CELLS = ("cells AS (SELECT vec_id, unnest(v) AS x, CAST(generate_subscripts(v, 1) - 1 AS INT) AS col FROM emb)")
+
+KW_PART = (f"t AS (SELECT p_partkey, unnest({tok('p_name')}) AS w, generate_subscripts({tok('p_name')}, 1) AS pos "
+           "FROM part), "
+           f"c AS (SELECT p_partkey, w, MIN(pos) AS first_pos FROM t WHERE NOT {brk('w')} GROUP BY p_partkey, w), "
+           "r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY first_pos) AS rk FROM c), "
+           "kw AS (SELECT p_partkey, string_agg(w, ' ' ORDER BY first_pos) AS kw FROM r WHERE rk <= 10 "
+           "GROUP BY p_partkey), "
+           "bags AS (SELECT part.p_partkey, concat_ws(' ', lower(p_type), lower(p_brand), CAST(p_size AS VARCHAR), "
+           "COALESCE(kw.kw, '')) AS bag FROM part LEFT JOIN kw ON part.p_partkey = kw.p_partkey)")
+
+
+def _cv_parts() -> str:
+    from tessera.functions.constants import COUNT_TOKEN_PATTERN
+    return (f"{KW_PART}, cv AS (SELECT p_partkey, term, COUNT(*) AS n FROM (SELECT p_partkey, "
+            f"unnest(regexp_extract_all(lower(bag), '{COUNT_TOKEN_PATTERN}')) AS term FROM bags) "
+            "GROUP BY p_partkey, term), "
+            "nrm AS (SELECT p_partkey, sqrt(SUM(n * n)) AS norm FROM cv GROUP BY p_partkey), "
+            "q AS (SELECT term, n AS qn FROM cv WHERE p_partkey = 1), "
+            "qn AS (SELECT sqrt(SUM(qn * qn)) AS q FROM q)")
+
+
+CV_PARTS = _cv_parts()
+
+ORACLE.update({
+    "ridge_coefficients": (f"WITH {SPLIT}, {RIDGE} SELECT 'user_id' AS term, round_even(b1, 9) AS value FROM b "
+                           "UNION ALL SELECT 'item_id', round_even(b2, 9) FROM b "
+                           "UNION ALL SELECT 'intercept', round_even(b0, 9) FROM b"),
+    "ridge_closed_form": (f"WITH {SPLIT}, {RIDGE} SELECT round_even(b1, 9) AS b1, round_even(b2, 9) AS b2, "
+                          "round_even(b0, 9) AS b0 FROM b"),
+    "ridge_predictions": (f"WITH {SPLIT}, {RIDGE} SELECT user_id, item_id, rating, "
+                          "round_even(b0 + b1 * user_id + b2 * item_id, 6) AS prediction FROM test CROSS JOIN b"),
+    "ridge_metrics": (f"WITH {SPLIT}, {RIDGE}, p AS (SELECT rating, b0 + b1 * user_id + b2 * item_id AS prediction "
+                      "FROM train CROSS JOIN b) SELECT COUNT(*) AS n, "
+                      "round_even(sqrt(AVG((prediction - rating) * (prediction - rating))), 6) AS rmse, "
+                      "round_even(AVG(abs(prediction - rating)), 6) AS mae, "
+                      "round_even(1 - SUM((prediction - rating) * (prediction - rating)) / "
+                      "(CAST(SUM(rating * rating) AS DOUBLE) - CAST(SUM(rating) AS DOUBLE) * SUM(rating) / COUNT(*)), 6)"
+                      " AS r2 FROM p"),
+    "lsh_neighbors": ORACLE["lattice_neighbors"],
+    "baseline_predictions": (f"WITH {SPLIT}, {BASELINE} SELECT p.user_id, p.item_id, p.rating, "
+                             "round_even(least(5.0, greatest(1.0, mu + COALESCE(b_u, 0) + COALESCE(b_i, 0))), 6) "
+                             "AS prediction FROM test p CROSS JOIN mu LEFT JOIN bi ON bi.item_id = p.item_id "
+                             "LEFT JOIN bu ON bu.user_id = p.user_id"),
+    "baseline_cv": CV_BASELINE,
+    "item_means": (f"WITH ratings AS ({RATINGS}) SELECT item_id, round_even(SUM(rating) / "
+                   "(SELECT CAST(COUNT(DISTINCT user_id) AS DOUBLE) FROM ratings), 9) AS mean "
+                   "FROM ratings GROUP BY item_id"),
+    "matrix_extent": (f"SELECT MAX(item_id) AS max_item, MAX(user_id) AS max_user, COUNT(DISTINCT user_id) AS n_users, "
+                      f"COUNT(DISTINCT item_id) AS n_items, COUNT(*) AS n_ratings FROM ({RATINGS})"),
+    "utility_triples": ("WITH ev AS (SELECT o_custkey AS user_id, l_partkey AS item_id, "
+                        "CAST(CEIL(l_quantity / 10) AS INT) AS rating, o_orderdate, l_orderkey, l_linenumber "
+                        "FROM lineitem JOIN orders ON l_orderkey = o_orderkey), "
+                        "r AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id "
+                        "ORDER BY o_orderdate DESC, l_orderkey DESC, l_linenumber DESC, rating DESC) AS rn FROM ev) "
+                        "SELECT user_id, item_id, rating FROM r WHERE rn = 1"),
+    "sparse_triples": f"WITH {EMB}, {EMB_CELLS} SELECT vec_id AS item_id, col, x AS value FROM cells WHERE x <> 0",
+    "dense_roundtrip": "SELECT vec_id AS item_id, TRUE AS same FROM embeddings",
+    "embedding_covariance": (f"WITH {EMB}, {EMB_CELLS} SELECT a.col AS i, b.col AS j, "
+                             "round_even(covar_pop(a.x, b.x), 9) AS cov FROM cells a JOIN cells b "
+                             "ON a.vec_id = b.vec_id GROUP BY a.col, b.col"),
+    "top_cosine_vectors": (f"WITH {EMB}, q AS (SELECT v AS qv FROM emb WHERE vec_id = 0), "
+                           "s AS (SELECT vec_id AS item_id, list_dot_product(v, qv) / "
+                           "(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(qv, qv))) AS score "
+                           "FROM emb CROSS JOIN q), "
+                           "r AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, item_id) AS INT) AS rank FROM s) "
+                           "SELECT item_id, round_even(score, 6) AS score, rank FROM r WHERE rank <= 10"),
+    "bag_of_words_parts": f"WITH {KW_PART} SELECT p_partkey, bag FROM bags",
+    "count_vectors_parts": f"WITH {CV_PARTS} SELECT p_partkey, term, n FROM cv",
+    "recommend_similar_parts": (f"WITH {CV_PARTS}, "
+                                "d AS (SELECT cv.p_partkey, SUM(cv.n * q.qn) AS dot FROM cv JOIN q ON cv.term = q.term "
+                                "GROUP BY cv.p_partkey), "
+                                "s AS (SELECT nrm.p_partkey, COALESCE(d.dot, 0) / ((SELECT q FROM qn) * nrm.norm) "
+                                "AS score FROM nrm LEFT JOIN d ON nrm.p_partkey = d.p_partkey WHERE nrm.p_partkey <> 1), "
+                                "rr AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, p_partkey) AS INT) AS rank "
+                                "FROM s) SELECT p_partkey, round_even(score, 6) AS score, rank FROM rr WHERE rank <= 10"),
+    "jaccard_to_query_part": (f"WITH {CV_PARTS}, "
+                              "qs AS (SELECT COUNT(DISTINCT term) AS qsize FROM q), "
+                              "sz AS (SELECT p_partkey, COUNT(DISTINCT term) AS size FROM cv GROUP BY p_partkey), "
+                              "it AS (SELECT cv.p_partkey, COUNT(DISTINCT cv.term) AS inter FROM cv JOIN q "
+                              "ON cv.term = q.term GROUP BY cv.p_partkey) "
+                              "SELECT it.p_partkey, round_even(CAST(inter AS DOUBLE) / (qsize + size - inter), 9) "
+                              "AS jaccard FROM it JOIN sz ON it.p_partkey = sz.p_partkey CROSS JOIN qs"),
+    "json_props_field": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events",
+    "order_year": ("SELECT o_orderkey, CAST(year(CAST(CAST(o_orderdate AS VARCHAR) AS TIMESTAMP)) AS INT) AS year "
+                   "FROM orders"),
+})

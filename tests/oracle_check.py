@@ -66,8 +66,9 @@ def compare(spark, con, sf_dir, name, fn, sql):
         if scols != dcols:
             extra = f" cols spark={scols} duck={dcols}"
         else:
-            diff_s = [r for r in srows if r not in set(drows)][:3]
-            diff_d = [r for r in drows if r not in set(srows)][:3]
+            dset, sset = set(drows), set(srows)
+            diff_s = [r for r in srows if r not in dset][:3]
+            diff_d = [r for r in drows if r not in sset][:3]
             extra = f" spark_only={diff_s} duck_only={diff_d}"
     return f"{name:32s} {msg} rows spark={len(srows)} duck={len(drows)} spark={t1 - t0:.2f}s{extra}"
 
