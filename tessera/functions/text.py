@@ -34,7 +34,9 @@ def count_tokens(text: str | Column, lower: bool = True) -> Column:
 
 
 def is_stop_word(word: Column, words=STOP_WORDS) -> Column:
-    return F.array_contains(stop_words_array(words), word)
+    """Membership in the word list; ``isin`` over many literals is planned as a
+    hash-set lookup (InSet), not a scan of the list."""
+    return word.isin(list(words))
 
 
 def is_punctuation(word: Column, punctuation: str = PUNCTUATION) -> Column:

@@ -242,8 +242,10 @@ from tessera.functions.columns import key_hash_bucket  # noqa: E402
 
 
 def nb_inputs(spark, d):
+    # the tokenised corpus feeds the vocabulary, the class list and the scores:
+    # persisted once (recomputable from the scan if an executor is lost)
     docs = ts.doc_tokens(labelled_documents(spark, d), clean=True, keep=["label"])
-    docs = docs.withColumn("is_test", key_hash_bucket(["doc_id"], 5, "nb") == 0)
+    docs = docs.withColumn("is_test", key_hash_bucket(["doc_id"], 5, "nb") == 0).persist()
     vocab = nb.vocabulary(docs, 2000)
     present = nb.presence(docs, vocab, keep=["label", "is_test"])
     train_docs = docs.filter(~F.col("is_test")).select("doc_id", "label")
