@@ -75,14 +75,16 @@ def repair_unknown(pairs: DataFrame, ratings: DataFrame, salt: str = "pick",
                    user: str = "user_id", item: str = "item_id") -> DataFrame:
     """Replace items of ``pairs`` that never occur in ``ratings``.
 
-    Each unknown item is owned by the smallest user id asking for it; that
-    user's unknown items (in item order) take that user's known items in
+    Each unknown item is owned by the smallest id among the users asking for
+    it that have training ratings; that user's unknown items (in item order) take that user's known items in
     salted-hash order (B4); the replacement then applies to every row with
-    the item, whoever the user (as in the reference). Unknown items whose
-    owner has too few known items stay as they are.
+    the item, whoever the user (as in the reference). Unknown items without
+    such a user, or whose owner has too few known items, stay as they are.
     """
     unknown = missing_keys(pairs, ratings, item)
-    owners = (pairs.join(unknown, item, "left_semi").groupBy(item).agg(F.min(user).alias(user)))
+    raters = ratings.select(user).distinct()
+    owners = (pairs.join(unknown, item, "left_semi").join(raters, user, "left_semi")
+              .groupBy(item).agg(F.min(user).alias(user)))
     ranked = owners.withColumn("pick", F.row_number().over(Window.partitionBy(user).orderBy(item)))
     wanted = ranked.groupBy(user).agg(F.count(F.lit(1)).alias("n"))
     picks = pick_known_items(ratings, wanted, salt, user, item)

@@ -86,7 +86,7 @@ TIME_SPLIT = ("j AS (SELECT o_custkey AS user_id, l_partkey AS item_id, l_quanti
 REPAIR = (f"WITH {TIME_SPLIT}, "
           "unknown AS (SELECT item_id FROM pairs EXCEPT SELECT item_id FROM train), "
           "owners AS (SELECT item_id, MIN(user_id) AS user_id FROM pairs WHERE item_id IN (SELECT item_id FROM unknown) "
-          "GROUP BY item_id), "
+          "AND user_id IN (SELECT user_id FROM train) GROUP BY item_id), "
           "ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS pick FROM owners), "
           "picks AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY "
           "md5('pick|' || CAST(user_id AS VARCHAR) || '|' || CAST(item_id AS VARCHAR)), item_id) AS pick "
