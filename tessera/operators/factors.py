@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS, ALSModel
@@ -190,11 +191,9 @@ def fit_pca(vectors: DataFrame, k: int, vec: str = "vec") -> Components:
 def pca_scores(vectors: DataFrame, comp: Components, key: str, vec: str = "vec") -> DataFrame:
     """Centred projection ``(key, factors)`` (Spark's ``PCAModel`` does not
     centre, so the mean is subtracted first). The d x k matrix is a literal."""
-    centred = F.zip_with(F.col(vec), F.array(*[F.lit(m) for m in comp.mean]), lambda x, m: x - m)
-    k = len(comp.pc[0])
-    cols = [F.aggregate(F.zip_with(F.col("__c"), F.array(*[F.lit(row[j]) for row in comp.pc]),
-                                   lambda x, w: x * w), F.lit(0.0), lambda a, b: a + b) for j in range(k)]
-    return vectors.select(key, centred.alias("__c")).select(key, F.array(*cols).alias("factors"))
+    centred = F.zip_with(F.col(vec), lit_array(comp.mean), lambda x, m: x - m)
+    return vectors.select(key, centred.alias("__c")).select(
+        key, _times_matrix("__c", np.asarray(comp.pc)).alias("factors"))
 
 
 def top_cosine(vectors: DataFrame, key: str, query, n: int = 10, vec: str = "vec",
@@ -208,7 +207,7 @@ def top_cosine(vectors: DataFrame, key: str, query, n: int = 10, vec: str = "vec
     q = vectors.filter(F.col(key) == F.lit(query)).select(vec).limit(1).collect()
     if not q:
         return vectors.sparkSession.createDataFrame([], f"{key} bigint, score double, rank int")
-    qv = F.array(*[F.lit(float(x)) for x in q[0][0]])
+    qv = lit_array(q[0][0])
     scored = vectors.select(key, cosine(F.col(vec), qv).alias("score")).filter(F.col("score").isNotNull())
     if not include_self:
         scored = scored.filter(F.col(key) != F.lit(query))
@@ -219,3 +218,111 @@ def top_cosine(vectors: DataFrame, key: str, query, n: int = 10, vec: str = "vec
 
 def vec_col(col: str | Column) -> Column:
     return vector_to_array(F.col(col) if isinstance(col, str) else col)
+
+
+# -------------------------------------------------- truncated SVD of the ratings
+def _scaled_sum(df: DataFrame, key: str, vec: str, weight: str) -> DataFrame:
+    """``(key, sum_rows(weight * vec))`` with a JVM vector-sum aggregate."""
+    scaled = df.select(key, array_to_vector(F.transform(F.col(vec), lambda x: x * F.col(weight))).alias("__v"))
+    return scaled.groupBy(key).agg(vector_to_array(Summarizer.sum(F.col("__v"))).alias(vec))
+
+
+def _gram(df: DataFrame, vec: str) -> "np.ndarray":
+    """``V^T V`` of the rows' vectors (k x k, collected: bounded by k^2)."""
+    import numpy as np
+    outer = F.flatten(F.transform(F.col(vec), lambda a: F.transform(F.col(vec), lambda b: a * b)))
+    s = df.select(array_to_vector(outer).alias("__o")).agg(Summarizer.sum(F.col("__o")).alias("s")).collect()[0]["s"]
+    k = int(round(len(s) ** 0.5))
+    return np.asarray(s.toArray()).reshape(k, k)
+
+
+def _vec_sum(df: DataFrame, vec: str) -> "np.ndarray":
+    import numpy as np
+    s = df.select(array_to_vector(vec).alias("__v")).agg(Summarizer.sum(F.col("__v")).alias("s")).collect()[0]["s"]
+    return np.asarray(s.toArray())
+
+
+def lit_array(values) -> Column:
+    """A double-array literal parsed once on the JVM (one call, not one per value)."""
+    return F.expr("array(" + ", ".join(f"{float(x):.17E}D" for x in values) + ")")
+
+
+def _times_matrix(vec: str, m) -> Column:
+    """Row vector times a small literal matrix ``m`` (k x k'), the matrix being
+    one flattened array literal indexed inside the lambda."""
+    kin, kout = m.shape
+    flat = "array(" + ", ".join(f"{float(x):.17E}D" for x in np.asarray(m).ravel()) + ")"
+    return F.expr(f"transform(sequence(0, {kout - 1}), j -> aggregate(sequence(0, {kin - 1}), 0D, "
+                  f"(acc, i) -> acc + {vec}[i] * {flat}[i * {kout} + j]))")
+
+
+@dataclass
+class SVDResult:
+    factors: DataFrame          # (item, vec): top-k right singular vectors, one row per item
+    singular_values: list[float]
+    eigenvalues: list[float]    # of the population item covariance
+
+
+def item_factors_svd(ratings: DataFrame, k: int = 50, iters: int = 10, oversample: int = 10, seed: int = 42,
+                     user: str = "user_id", item: str = "item_id", rating: str = "rating") -> SVDResult:
+    """Top-``k`` right singular vectors of the item-centred users x items
+    matrix (absent = 0, each item centred by its mean over all users), i.e. the
+    item factors of a truncated SVD; equals PCA of the user rows.
+
+    Subspace iteration on sparse triples, never forming the matrix or the
+    item covariance: each step computes Y = C Q and Z = C^T Y with two joins
+    and two vector-sum aggregates (the centring enters as rank-one corrections
+    from the item means), then orthonormalises Z with the Cholesky factor of
+    the k x k Gram matrix. Only k-vectors and k x k matrices reach the driver.
+    Q is checkpointed every step (``spark.checkpoint.dir``) so lineage stays
+    short and a lost executor recomputes one step at most; Y and Z are only
+    persisted for the step that reads them twice.
+    """
+    import numpy as np
+    spark = ratings.sparkSession
+    ensure_checkpoint_dir(spark)
+    p = k + oversample
+    r = ratings.select(F.col(user).alias("__u"), F.col(item).alias("__i"), F.col(rating).cast("double").alias("__r"))
+    n_users = r.select("__u").distinct().count()
+    means = r.groupBy("__i").agg((F.sum("__r") / F.lit(float(n_users))).alias("__m")).checkpoint()
+    n_items = means.count()
+    q = means.select("__i", "__m", F.array(*[F.randn(seed + j) for j in range(p)]).alias("q"))
+
+    def c_times(qdf: DataFrame) -> DataFrame:
+        # Y = A Q - 1 (m^T Q), rows for every user with a rating
+        mq = _vec_sum(qdf.select(F.transform("q", lambda x: x * F.col("__m")).alias("v")), "v")
+        aq = _scaled_sum(r.join(qdf.select("__i", "q"), "__i"), "__u", "q", "__r")
+        return aq.select("__u", F.zip_with("q", lit_array(mq), lambda a, b: a - b)
+                         .alias("y")).persist()
+
+    def ct_times(ydf: DataFrame) -> DataFrame:
+        # Z = A^T Y - m (1^T Y)
+        sy = _vec_sum(ydf, "y")
+        aty = _scaled_sum(r.join(ydf, "__u"), "__i", "y", "__r")
+        z = means.join(aty, "__i", "left").select(
+            "__i", "__m", F.zip_with(F.coalesce("y", lit_array([0.0] * p)), lit_array(sy),
+                                     lambda a, b: a - F.col("__m") * b).alias("q")).persist()
+        ydf.unpersist()
+        return z
+
+    def orthonormal(zdf: DataFrame) -> DataFrame:
+        g = _gram(zdf, "q")
+        rinv = np.linalg.inv(np.linalg.cholesky(g + 1e-12 * np.trace(g) * np.eye(len(g))).T)
+        q_new = zdf.select("__i", "__m", _times_matrix("q", rinv).alias("q")).checkpoint()
+        zdf.unpersist()
+        return q_new
+
+    q = orthonormal(q)
+    for _ in range(iters):
+        q = orthonormal(ct_times(c_times(q)))
+    # Rayleigh-Ritz: B = (C Q)^T (C Q), eigen-pairs give the rotation and the spectrum
+    y_last = c_times(q)
+    b = _gram(y_last, "y")
+    y_last.unpersist()
+    lam, w = np.linalg.eigh(b)
+    order = np.argsort(lam)[::-1][:k]
+    lam, w = lam[order], w[:, order]
+    factors = q.select(F.col("__i").alias(item), _times_matrix("q", w).alias("vec"))
+    eig_pop = [float(x) / n_users for x in lam]
+    sv = [float(np.sqrt(max(x, 0.0) / (n_items - 1))) for x in lam]
+    return SVDResult(factors, sv, eig_pop)

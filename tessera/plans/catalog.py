@@ -511,3 +511,53 @@ def q_json(spark, d):
 @register("order_year")
 def q_year(spark, d):
     return load(spark, d, "orders").select("o_orderkey", year_of(F.col("o_orderdate").cast("string")).alias("year"))
+
+
+# ------------------------------------------- phase 6/7: SVD, method comparison
+from tessera.sources.sinks import evaluation_report, timed_action  # noqa: E402
+
+
+def svd_of_training(spark, d):
+    train, _ = rating_split(spark, d)
+    return fx.item_factors_svd(train, k=50, iters=10)
+
+
+@register("svd_singular_values")
+def q_svd_values(spark, d):
+    res = svd_of_training(spark, d)
+    return spark.createDataFrame([(i + 1, s, e) for i, (s, e) in enumerate(zip(res.singular_values, res.eigenvalues))],
+                                 "component int, singular_value double, eigenvalue double")
+
+
+@register("svd_top_cosine")
+def q_svd_top(spark, d):
+    return fx.top_cosine(svd_of_training(spark, d).factors, "item_id", 1, 10)
+
+
+@register("method_comparison")
+def q_methods(spark, d):
+    """P5 + A11: RMSE, fit time and prediction time of each rating method on
+    the hold-out fold (timings around full executions, not lazy calls)."""
+    train, test = rating_split(spark, d)
+    reports = []
+
+    def report(name, fit, predict):
+        t0 = timed_action(train)
+        t1 = __import__("time").time()
+        model = fit()
+        fit_s = __import__("time").time() - t1
+        pred = predict(model)
+        pred_s = timed_action(pred)
+        m = regression_metrics(pred, "rating", "prediction").collect()[0]
+        reports.append(evaluation_report(spark, {"rmse": m["rmse"], "mae": m["mae"], "fit_seconds": fit_s,
+                                                 "predict_seconds": pred_s, "scan_seconds": t0}, name))
+
+    report("knn_lattice", lambda: lattice_neighbors(train, test, 1.5), lambda nb_: knn_predict(test, nb_))
+    report("ridge", lambda: regress.fit_ridge(train, ["user_id", "item_id"]), lambda m: m.transform(test))
+    report("forest", lambda: regress.fit_forest(train, ["user_id", "item_id"]), lambda m: m.transform(test))
+    report("baseline", lambda: fx.fit_baseline(train), lambda m: m.transform(test))
+    report("als", lambda: fx.fit_factors(train, rank=50), lambda m: m.transform(test))
+    out = reports[0]
+    for r in reports[1:]:
+        out = out.unionByName(r)
+    return out

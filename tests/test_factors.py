@@ -89,3 +89,27 @@ def test_cv_copies_sizes(spark):
     per = dict(rows(test.groupBy("cv_fold").count()))
     for f, n in per.items():
         assert train.filter(F.col("cv_fold") == f).count() == 200 - n
+
+
+def test_svd_matches_numpy(spark):
+    rng = np.random.default_rng(11)
+    n_users, n_items = 60, 20
+    low = rng.normal(size=(n_users, 3)) @ rng.normal(size=(3, n_items)) * 2
+    dense = np.clip(np.rint(low + 3), 1, 5)
+    mask = rng.random((n_users, n_items)) < 0.5
+    trip = [(u, i, int(dense[u, i])) for u in range(n_users) for i in range(n_items) if mask[u, i]]
+    df = spark.createDataFrame(trip, "user_id bigint, item_id bigint, rating int")
+    users = sorted({u for u, _, _ in trip})
+    items = sorted({i for _, i, _ in trip})
+    m = np.zeros((len(users), len(items)))
+    for u, i, v in trip:
+        m[users.index(u), items.index(i)] = v
+    c = m - m.mean(0)
+    a = c / np.sqrt(len(items) - 1)
+    _, s, vt = np.linalg.svd(a, full_matrices=False)
+    res = fx.item_factors_svd(df, k=3, iters=30, oversample=5)
+    assert np.allclose(res.singular_values, s[:3], rtol=1e-6)
+    got = {r.item_id: r.vec for r in res.factors.collect()}
+    v = np.array([got[i] for i in items])
+    for j in range(3):
+        assert abs(abs(v[:, j] @ vt[j]) - 1) < 1e-6
