@@ -282,7 +282,9 @@ def item_factors_svd(ratings: DataFrame, k: int = 50, iters: int = 10, oversampl
     spark = ratings.sparkSession
     ensure_checkpoint_dir(spark)
     p = k + oversample
-    r = ratings.select(F.col(user).alias("__u"), F.col(item).alias("__i"), F.col(rating).cast("double").alias("__r"))
+    # the triples are read twice per step: written once to the checkpoint folder
+    r = ratings.select(F.col(user).alias("__u"), F.col(item).alias("__i"),
+                       F.col(rating).cast("double").alias("__r")).checkpoint()
     n_users = r.select("__u").distinct().count()
     means = r.groupBy("__i").agg((F.sum("__r") / F.lit(float(n_users))).alias("__m")).checkpoint()
     n_items = means.count()
