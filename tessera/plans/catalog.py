@@ -32,8 +32,15 @@ KEYS = ["user_id", "item_id"]
 
 
 def rating_split(spark: SparkSession, d: str):
-    """Training folds 0-8 and hold-out fold 9 of the ratings adapter."""
-    return hash_split(ratings_from_orders(spark, d), KEYS, (9,), 10)
+    """Training folds 0-8 and hold-out fold 9 of the ratings adapter.
+
+    The ratings feed several branches (training side, pairs, probes) and
+    model fits; they are persisted (memory, spilling to disk) so the
+    lineitem x orders join and aggregation run once per query.
+    """
+    from pyspark import StorageLevel
+    ratings = ratings_from_orders(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
+    return hash_split(ratings, KEYS, (9,), 10)
 
 
 # ---------------------------------------------------------------- phase 1: kNN
