@@ -101,3 +101,24 @@ def jaccard_to_query(triples: DataFrame, key: str, query) -> DataFrame:
     inter = triples.join(F.broadcast(qt), "term").groupBy(key).agg(F.countDistinct("term").alias("inter"))
     return inter.join(sizes, key).select(
         key, (F.col("inter") / (F.lit(q_size) + F.col("size") - F.col("inter"))).alias("jaccard"))
+
+
+def item_cosine_to(ratings: DataFrame, query, n: int = 10, user: str = "user_id", item: str = "item_id",
+                   rating: str = "rating") -> DataFrame:
+    """P1 for one query item: exact cosine between item rating columns (users
+    as coordinates, absent = 0), top ``n`` other items, ``(item, score, rank)``.
+
+    Only the ratings of users who rated the query item are joined (a
+    shuffle join on user, however many users that is), so the work is linear
+    in the ratings and no item pair set is built. Items with no common user
+    score 0.
+    """
+    r = F.col(rating).cast("double")
+    q = ratings.filter(F.col(item) == F.lit(query)).select(user, r.alias("__rq"))
+    q_norm = q.agg(F.sqrt(F.sum(F.col("__rq") * F.col("__rq")))).collect()[0][0]
+    dots = (ratings.join(q, user).groupBy(item).agg(F.sum(r * F.col("__rq")).alias("dot")))
+    nrm = ratings.groupBy(item).agg(F.sqrt(F.sum(r * r)).alias("norm"))
+    scored = (nrm.join(dots, item, "left").filter(F.col(item) != F.lit(query))
+              .withColumn("score", F.coalesce("dot", F.lit(0.0)) / (F.lit(q_norm) * F.col("norm"))))
+    top = scored.orderBy(F.desc("score"), F.asc(item)).limit(n)
+    return top.select(item, "score", F.row_number().over(Window.orderBy(F.desc("score"), F.asc(item))).alias("rank"))

@@ -568,3 +568,42 @@ def q_methods(spark, d):
     for r in reports[1:]:
         out = out.unionByName(r)
     return out
+
+
+# ----------------------------------------- remaining inventory lines
+from tessera.operators.metrics import residuals  # noqa: E402
+from tessera.operators.splits import hash_sample  # noqa: E402
+
+
+@register("recommend_similar_titles")
+def q_recommend_titles(spark, d):
+    """F6 + C4: the recommendations with their names (lookup join on the key)."""
+    rec = q_recommend(spark, d)
+    names = load(spark, d, "part").select("p_partkey", "p_name")
+    return rec.join(names, "p_partkey").select("rank", "p_partkey", "p_name", "score")
+
+
+@register("ridge_residuals")
+def q_ridge_residuals(spark, d):
+    train, _ = rating_split(spark, d)
+    model = regress.fit_ridge(train, ["user_id", "item_id"], "rating", 0.3)
+    return residuals(model.transform(train)).select("user_id", "item_id", F.bround("residual", 6).alias("residual"))
+
+
+@register("top_profit_parts")
+def q_top_profit(spark, d):
+    """highest profit first, first three rows."""
+    return (part_profit(spark, d).orderBy(F.desc_nulls_last("profit"), F.asc("p_partkey")).limit(3)
+            .select("p_partkey", "p_name", F.bround("profit", 4).alias("profit")))
+
+
+@register("hash_sample_user")
+def q_hash_sample(spark, d):
+    """H2 (exact form): 90 % of one user's ratings by key hash."""
+    return hash_sample(clean.filter_equal(ratings_from_orders(spark, d), "user_id", 7), 0.9, KEYS, "sample")
+
+
+@register("item_item_cosine")
+def q_item_cosine(spark, d):
+    return content.item_cosine_to(ratings_from_orders(spark, d), 1, 10).select(
+        "item_id", F.bround("score", 6).alias("score"), "rank")

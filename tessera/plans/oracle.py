@@ -369,3 +369,32 @@ ORACLE.update({
     "order_year": ("SELECT o_orderkey, CAST(year(CAST(CAST(o_orderdate AS VARCHAR) AS TIMESTAMP)) AS INT) AS year "
                    "FROM orders"),
 })
+
+
+ORACLE.update({
+    "recommend_similar_titles": (f"WITH {CV_PARTS}, "
+                                 "d AS (SELECT cv.p_partkey, SUM(cv.n * q.qn) AS dot FROM cv JOIN q ON cv.term = q.term "
+                                 "GROUP BY cv.p_partkey), "
+                                 "s AS (SELECT nrm.p_partkey, COALESCE(d.dot, 0) / ((SELECT q FROM qn) * nrm.norm) "
+                                 "AS score FROM nrm LEFT JOIN d ON nrm.p_partkey = d.p_partkey WHERE nrm.p_partkey <> 1), "
+                                 "rr AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, p_partkey) AS INT) AS rank "
+                                 "FROM s) SELECT rr.rank, rr.p_partkey, part.p_name, round_even(rr.score, 6) AS score "
+                                 "FROM rr JOIN part ON rr.p_partkey = part.p_partkey WHERE rr.rank <= 10"),
+    "ridge_residuals": (f"WITH {SPLIT}, {RIDGE} SELECT user_id, item_id, "
+                        "round_even(rating - (b0 + b1 * user_id + b2 * item_id), 6) AS residual FROM train CROSS JOIN b"),
+    "top_profit_parts": (f"WITH {PROFIT} SELECT p_partkey, p_name, round_even(profit, 4) AS profit FROM pp "
+                         "ORDER BY profit DESC NULLS LAST, p_partkey LIMIT 3"),
+    "hash_sample_user": (f"SELECT * FROM ({RATINGS}) WHERE user_id = 7 AND "
+                         f"{fold(['user_id', 'item_id'], 1000000, 'sample')} < 900000"),
+    "item_item_cosine": (f"WITH ratings AS ({RATINGS}), "
+                         "q AS (SELECT user_id, CAST(rating AS DOUBLE) AS rq FROM ratings WHERE item_id = 1), "
+                         "qn AS (SELECT sqrt(SUM(rq * rq)) AS q FROM q), "
+                         "d AS (SELECT r.item_id, SUM(r.rating * q.rq) AS dot FROM ratings r JOIN q "
+                         "ON r.user_id = q.user_id GROUP BY r.item_id), "
+                         "nrm AS (SELECT item_id, sqrt(SUM(CAST(rating AS DOUBLE) * rating)) AS norm FROM ratings "
+                         "GROUP BY item_id), "
+                         "s AS (SELECT nrm.item_id, COALESCE(d.dot, 0) / ((SELECT q FROM qn) * nrm.norm) AS score "
+                         "FROM nrm LEFT JOIN d ON nrm.item_id = d.item_id WHERE nrm.item_id <> 1), "
+                         "rr AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, item_id) AS INT) AS rank FROM s) "
+                         "SELECT item_id, round_even(score, 6) AS score, rank FROM rr WHERE rank <= 10"),
+})

@@ -61,3 +61,10 @@ def test_split_valid_rows(spark):
     good, bad = split_valid_rows(df, {"a": "int", "b": "int"})
     assert sorted(good.collect(), key=str) == sorted([(1, 2), (4, None)], key=str)
     assert rows(bad) == [("x", "3")]
+
+
+def test_flag_malformed(spark):
+    df = spark.createDataFrame([("[{'iso_3166_1': 'US', 'name': 'United States of America'}]",), ("nan",), ("[]",)],
+                               "c string")
+    got = [r.parsed_ok for r in clean.flag_malformed(df, "c").collect()]
+    assert got == [True, False, True]
