@@ -67,3 +67,18 @@ def clean_tokens(tokens: str | Column) -> Column:
 def key_words(text: str | Column, k: int = 10) -> Column:
     """The first ``k`` distinct content words of the text, in text order."""
     return F.slice(F.array_distinct(clean_tokens(tokenize(text))), 1, k)
+
+
+def explode_terms(df, array_col, alias: str, *keep, pos: str | None = None):
+    """Rows of ``df`` exploded over a token array, dropping empty arrays.
+
+    ``explode`` makes Spark infer a ``size(array) > 0`` filter that evaluates
+    the array expression (the tokeniser) a second time in its own operator;
+    ``explode_outer`` plus a null filter on the element evaluates it once.
+    """
+    arr = F.col(array_col) if isinstance(array_col, str) else array_col
+    if pos is None:
+        out = df.select(*keep, F.explode_outer(arr).alias(alias))
+    else:
+        out = df.select(*keep, F.posexplode_outer(arr).alias(pos, alias))
+    return out.filter(F.col(alias).isNotNull())

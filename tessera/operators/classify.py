@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import explode_terms
 from tessera.operators.textstats import most_common, word_freq
 
 
@@ -29,7 +30,7 @@ def presence(doc_words: DataFrame, vocab: DataFrame, doc_id: str = "doc_id", col
              keep: list[str] | None = None) -> DataFrame:
     """Sparse presence features ``(doc_id, [keep...], word)``: one row per
     vocabulary word present in the document (absent words are implicit)."""
-    words = doc_words.select(doc_id, *(keep or []), F.explode(F.array_distinct(col)).alias("word"))
+    words = explode_terms(doc_words, F.array_distinct(col), "word", doc_id, *(keep or []))
     return words.join(F.broadcast(vocab.select("word")), "word").select(doc_id, *(keep or []), "word")
 
 

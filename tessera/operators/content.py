@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import count_tokens, key_words
+from tessera.functions.text import count_tokens, explode_terms, key_words
 
 
 def bag_of_words(items: DataFrame, key: str, lists: Sequence[Column | str] = (), texts: Sequence[Column | str] = (),
@@ -35,7 +35,7 @@ def bag_of_words(items: DataFrame, key: str, lists: Sequence[Column | str] = (),
 def count_vectors(bags: DataFrame, key: str, bag: str = "bag") -> DataFrame:
     """Term counts ``(key, term, n)``; terms are lower-cased runs of two or
     more word characters."""
-    return (bags.select(key, F.explode(count_tokens(bag)).alias("term"))
+    return (explode_terms(bags, count_tokens(bag), "term", key)
             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("n")))
 
 

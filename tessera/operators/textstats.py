@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import clean_tokens, is_breaker, key_words as key_words_col, tokenize
+from tessera.functions.text import clean_tokens, explode_terms, is_breaker, key_words as key_words_col, tokenize
 
 
 def doc_tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", clean: bool = False,
@@ -25,8 +25,7 @@ def doc_tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", clea
 
 def word_freq(tokens: DataFrame, col: str = "tokens") -> DataFrame:
     """``(word, n)`` occurrences over all documents."""
-    return (tokens.select(F.explode(col).alias("word"))
-            .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    return explode_terms(tokens, col, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def freq_summary(freq: DataFrame) -> DataFrame:
@@ -70,7 +69,7 @@ def word_degrees(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     toks = tokenize(text)
     marked = F.array_join(F.transform(toks, lambda w: F.when(is_breaker(w), F.lit("\n")).otherwise(w)), " ")
     phrases = F.filter(F.split(marked, r"\s*\n\s*"), lambda p: F.length(F.trim(p)) > 0)
-    exploded = (docs.select(doc_id, F.explode(phrases).alias("phrase"))
+    exploded = (explode_terms(docs, phrases, "phrase", doc_id)
                 .select(doc_id, F.split(F.trim("phrase"), " ").alias("words"))
                 .select(doc_id, F.size("words").alias("plen"), F.explode("words").alias("word")))
     return exploded.groupBy(doc_id, "word").agg(F.sum("plen").cast("bigint").alias("degree"))
@@ -79,7 +78,7 @@ def word_degrees(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 def key_words(docs: DataFrame, k: int = 10, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, kw_rank, word)`` for the first ``k`` distinct content
     words of each text, in text order (the order of first appearance)."""
-    return docs.select(doc_id, F.posexplode(key_words_col(text, k)).alias("pos", "word")) \
+    return explode_terms(docs, key_words_col(text, k), "word", doc_id, pos="pos") \
         .select(doc_id, (F.col("pos") + 1).alias("kw_rank"), "word")
 
 
@@ -87,8 +86,12 @@ def tfidf(tokens: DataFrame, col: str = "tokens", doc_id: str = "doc_id") -> Dat
     """``(doc_id, term, tf, df, tfidf)`` with idf = ln((N + 1) / (df + 1))
     (Spark ML's ``IDF`` formula). Term counts and document frequencies are
     both hash aggregates; the document count is one scalar aggregate."""
-    tf = (tokens.select(doc_id, F.explode(col).alias("term"))
-          .groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf")))
+    from pyspark import StorageLevel
+    # tf feeds both the scores and the document frequencies: persisted so the
+    # corpus is tokenised once (memory, spilling to disk)
+    tf = (explode_terms(tokens, col, "term", doc_id)
+          .groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
+          .persist(StorageLevel.MEMORY_AND_DISK))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_docs = tokens.count()
     return (tf.join(df, "term")
