@@ -39,6 +39,15 @@ def count_vectors(bags: DataFrame, key: str, bag: str = "bag") -> DataFrame:
             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("n")))
 
 
+# A query item's term list is broadcast only below this many rows (checked by
+# a count); a larger one is joined with an ordinary shuffle join.
+MAX_BROADCAST_TERMS = 1_000_000
+
+
+def _bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_TERMS) -> DataFrame:
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def norms(triples: DataFrame, key: str) -> DataFrame:
     return triples.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
 
@@ -74,7 +83,8 @@ def cosine_to_queries(triples: DataFrame, key: str, queries: DataFrame, n: int =
 def recommend_similar(triples: DataFrame, key: str, query, n: int = 10, include_self: bool = False) -> DataFrame:
     """top-``n`` items most similar to one item, ``(key, score, rank)``.
 
-    The query's term list is small (one bag) and broadcast; every item's score
+    The query's term list (one bag) is broadcast when its counted size is
+    under ``MAX_BROADCAST_TERMS``; every item's score
     is its dot product with it over its norms. Items sharing no term score 0,
     so the top-n over all items equals the reference's sort of the full
     similarity row. Ties by key.
@@ -83,7 +93,8 @@ def recommend_similar(triples: DataFrame, key: str, query, n: int = 10, include_
     qnorm = F.sqrt(F.sum(F.col("qn") * F.col("qn")))
     qn_val = qt.agg(qnorm.alias("q")).collect()[0]["q"]
     nrm = norms(triples, key)
-    dots = (triples.join(F.broadcast(qt), "term").groupBy(key).agg(F.sum(F.col("n") * F.col("qn")).alias("dot")))
+    dots = (triples.join(_bounded_broadcast(qt), "term").groupBy(key)
+            .agg(F.sum(F.col("n") * F.col("qn")).alias("dot")))
     scored = (nrm.join(dots, key, "left")
               .withColumn("score", F.coalesce(F.col("dot"), F.lit(0)) / (F.lit(qn_val) * F.col("norm"))))
     if not include_self:
@@ -98,7 +109,8 @@ def jaccard_to_query(triples: DataFrame, key: str, query) -> DataFrame:
     qt = triples.filter(F.col(key) == F.lit(query)).select("term").distinct()
     q_size = qt.count()
     sizes = triples.groupBy(key).agg(F.countDistinct("term").alias("size"))
-    inter = triples.join(F.broadcast(qt), "term").groupBy(key).agg(F.countDistinct("term").alias("inter"))
+    inter = (triples.join(F.broadcast(qt) if q_size <= MAX_BROADCAST_TERMS else qt, "term")
+             .groupBy(key).agg(F.countDistinct("term").alias("inter")))
     return inter.join(sizes, key).select(
         key, (F.col("inter") / (F.lit(q_size) + F.col("size") - F.col("inter"))).alias("jaccard"))
 
