@@ -155,7 +155,8 @@ class Factors:
 
 
 def fit_factors(ratings: DataFrame, rank: int = 50, reg: float = 0.1, iters: int = 10, seed: int = 42,
-                user: str = "user_id", item: str = "item_id", rating: str = "rating") -> Factors:
+                user: str = "user_id", item: str = "item_id", rating: str = "rating",
+                blocks: int | None = None) -> Factors:
     """Latent factors on the baseline residual (biases + dot product), fitted
     with Spark's block ALS. Ids must fit in 32-bit integers (ANSI casts fail
     loudly otherwise). The lineage of the iterations is cut by ALS's own
@@ -165,8 +166,12 @@ def fit_factors(ratings: DataFrame, rank: int = 50, reg: float = 0.1, iters: int
     resid = (base.transform(ratings.select(user, item, rating))
              .select(F.col(user).cast("int").alias("__u"), F.col(item).cast("int").alias("__i"),
                      (F.col(rating) - F.col("baseline")).alias("__r")))
+    # one user block and one item block per core of the cluster (Spark's own
+    # guidance); more blocks only add shuffle rounds per iteration
+    blocks = blocks or ratings.sparkSession.sparkContext.defaultParallelism
     als = ALS(rank=rank, maxIter=iters, regParam=reg, userCol="__u", itemCol="__i", ratingCol="__r",
-              coldStartStrategy="nan", seed=seed, checkpointInterval=5).setPredictionCol("__f")
+              coldStartStrategy="nan", seed=seed, checkpointInterval=5, numUserBlocks=blocks,
+              numItemBlocks=blocks).setPredictionCol("__f")
     return Factors(base, als.fit(resid), user, item)
 
 
