@@ -52,7 +52,8 @@ def q_ratings(spark, d):
 @register("lattice_neighbors")
 def q_lattice_neighbors(spark, d):
     train, test = rating_split(spark, d)
-    return lattice_neighbors(train, test, 1.5).withColumn("dist", F.bround("dist", 9))
+    return lattice_neighbors(train, test, 1.5).select(
+        "test_user", "test_item", "train_user", "train_item", "rating", F.bround("dist", 9).alias("dist"))
 
 
 @register("knn_predict_ratings")
