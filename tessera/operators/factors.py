@@ -295,9 +295,8 @@ def item_factors_svd(ratings: DataFrame, k: int = 50, iters: int = 10, oversampl
     n_items = means.count()
     q = means.select("__i", "__m", F.array(*[F.randn(seed + j) for j in range(p)]).alias("q"))
 
-    def c_times(qdf: DataFrame) -> DataFrame:
+    def c_times(qdf: DataFrame, mq) -> DataFrame:
         # Y = A Q - 1 (m^T Q), rows for every user with a rating
-        mq = _vec_sum(qdf.select(F.transform("q", lambda x: x * F.col("__m")).alias("v")), "v")
         aq = _scaled_sum(r.join(qdf.select("__i", "q"), "__i"), "__u", "q", "__r")
         return aq.select("__u", F.zip_with("q", lit_array(mq), lambda a, b: a - b)
                          .alias("y")).persist()
@@ -312,18 +311,22 @@ def item_factors_svd(ratings: DataFrame, k: int = 50, iters: int = 10, oversampl
         ydf.unpersist()
         return z
 
-    def orthonormal(zdf: DataFrame) -> DataFrame:
-        g = _gram(zdf, "q")
-        rinv = np.linalg.inv(np.linalg.cholesky(g + 1e-12 * np.trace(g) * np.eye(len(g))).T)
+    def orthonormal(zdf: DataFrame):
+        # one aggregate gives Z^T Z and m^T Z; then Q = Z R^-1 and m^T Q = (m^T Z) R^-1
+        outer = F.flatten(F.transform(F.col("q"), lambda a: F.transform(F.col("q"), lambda b: a * b)))
+        both = F.concat(outer, F.transform(F.col("q"), lambda x: x * F.col("__m")))
+        tot = _vec_sum(zdf.select(both.alias("v")), "v")
+        g, mz = tot[:p * p].reshape(p, p), tot[p * p:]
+        rinv = np.linalg.inv(np.linalg.cholesky(g + 1e-12 * np.trace(g) * np.eye(p)).T)
         q_new = zdf.select("__i", "__m", _times_matrix("q", rinv).alias("q")).checkpoint()
         zdf.unpersist()
-        return q_new
+        return q_new, mz @ rinv
 
-    q = orthonormal(q)
+    q, mq = orthonormal(q)
     for _ in range(iters):
-        q = orthonormal(ct_times(c_times(q)))
+        q, mq = orthonormal(ct_times(c_times(q, mq)))
     # Rayleigh-Ritz: B = (C Q)^T (C Q), eigen-pairs give the rotation and the spectrum
-    y_last = c_times(q)
+    y_last = c_times(q, mq)
     b = _gram(y_last, "y")
     y_last.unpersist()
     lam, w = np.linalg.eigh(b)
