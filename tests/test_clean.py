@@ -68,3 +68,18 @@ def test_flag_malformed(spark):
                                "c string")
     got = [r.parsed_ok for r in clean.flag_malformed(df, "c").collect()]
     assert got == [True, False, True]
+
+
+def test_small_helpers(spark):
+    from tessera.operators.neighbors import assemble_features, order_by_distance
+    df = spark.createDataFrame([(1, "2.5", None), (2, "x", "b")], "a int, b string, c string")
+    assert clean.select_rename(df, {"b": "text", "a": "id"}).columns == ["text", "id"]
+    assert [r.b for r in clean.coerce_numeric(df, "b").collect()] == [2.5, None]
+    assert clean.drop_nulls(df).count() == 1 and clean.drop_nulls(df, ["a"]).count() == 2
+    toks = spark.createDataFrame([(["b", "a", "b", "c", "a"],)], "t array<string>")
+    assert toks.select(clean.distinct_tokens("t")).collect()[0][0] == ["b", "a", "c"]
+    nb = spark.createDataFrame([(1, 1, 2, 2, 3, 1.0), (1, 1, 1, 1, 4, 1.0), (1, 1, 0, 0, 5, 0.5)],
+                               "test_user long, test_item long, train_user long, train_item long, rating int, dist double")
+    assert [r.rating for r in order_by_distance(nb).collect()] == [5, 4, 3]
+    v = assemble_features(spark.createDataFrame([(1, 2)], "u int, i int"), ["u", "i"], drop_inputs=True)
+    assert v.columns == ["features"] and list(v.collect()[0].features) == [1.0, 2.0]
