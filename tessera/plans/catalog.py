@@ -608,3 +608,14 @@ def q_hash_sample(spark, d):
 def q_item_cosine(spark, d):
     return content.item_cosine_to(ratings_from_orders(spark, d), 1, 10).select(
         "item_id", F.bround("score", 6).alias("score"), "rank")
+
+
+@register("als_cv")
+def q_als_cv(spark, d):
+    """H3 for the latent-factor model: 5 key-hash folds, RMSE / MAE / fit and
+    test seconds per fold (the reference's evaluation of its factor model)."""
+    from tessera.operators.splits import cross_validate
+    from pyspark import StorageLevel
+    ratings = ratings_from_orders(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
+    return cross_validate(ratings, lambda tr, te: fx.fit_factors(tr, rank=50).transform(te),
+                          KEYS, k=5, label="rating", prediction="prediction", salt="cv")
