@@ -24,3 +24,9 @@ def test_entry_runs(spark):
     df = ent.entry(spark)
     assert set(df.columns) == {"user_id", "item_id", "rating", "prediction"}
     assert df.count() >= 0
+
+
+def test_oracle_keys_are_registered_queries():
+    q, o = ent.queries(), ent.oracle_sql()
+    assert set(o) <= set(q)
+    assert len(q) - len(o) == 11  # rows-only: iterative / randomised ML fits and timings
