@@ -188,12 +188,14 @@ def shingle_arrays(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(task, "id long, shingles array<long>")
 
 
-def exact_links(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """Pairs (hub, id) that link, by intersecting their sorted arrays.
+def exact_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (hub, id) that link, by intersecting their sorted arrays (a written table).
 
-    A hub's array is sent once to each salted share of its partners; the rows of
-    a share arrive sorted with the hub first, so a task holds one hub at a time.
+    Only the arrays of the pairs' texts are made. A hub's array is sent once to
+    each salted share of its partners; the rows of a share arrive sorted with
+    the hub first, so a task holds one hub at a time.
     """
+    arrays = written(shingle_arrays(texts, pairs.select("id").union(pairs.select("hub")), k), "arrays")
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     hubs = salted.select("hub", "salt").distinct().join(arrays.withColumnRenamed("id", "hub"), "hub") \
         .select("hub", "salt", F.lit(None).cast("long").alias("id"), "shingles")
@@ -223,7 +225,9 @@ def exact_links(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
                         out[0].append(hub[r]), out[1].append(id_[r])
                         break
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["hub", "id"])
-    return rows.mapInArrow(task, "hub long, id long")
+    links = written(rows.mapInArrow(task, "hub long, id long"), "links")
+    forget(arrays)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -369,13 +373,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
               .select("key", "id", "n").join(sets.select("id"), "id", "left_semi").distinct())
     members = written(banded(shared, percent), "members")
     forget(wide)
-    arrays = written(shingle_arrays(texts, members.select("id"), k), "arrays")
     sizes = members.groupBy("key", "band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     sizes = written(sizes, "sizes")
     crowded = members.join(sizes.filter(F.col("c") > crowd).select("key", "band"), ["key", "band"], "left_semi").select("id").distinct()
     parts = [members.join(sizes.filter(F.col("c") <= crowd), ["key", "band"]).select("key", "band", "id", "n")]
     if not sizes.filter(F.col("c") > crowd).isEmpty():
-        parts.append(slice_tiles(arrays, crowded, percent))
+        parts.append(slice_tiles(shingle_arrays(texts, crowded, k), crowded, percent))
     tiles = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     tiles = written(tiles, "tiles")
 
@@ -384,7 +387,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                                     F.max(mark)["id"].alias("high")).filter("low <> high"), "hubs")
     stars = tiles.join(hubs, ["key", "band"]).select(F.explode(F.array("low", "high")).alias("hub"), "id").filter("hub <> id")
     tried = written(prune(stars.distinct(), sets, percent), "stars")
-    links = written(exact_links(tried, arrays, percent), "links")
+    links = exact_links(tried, texts, k, percent)
     labels = components(links)
 
     # tiles whose sets besides the hubs still lie in several components
@@ -397,8 +400,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     more = block_survivors(rest.join(open_, ["key", "band"]).join(sets, "id"), percent)
     more = written(more.join(tried, ["hub", "id"], "left_anti"), "more")
     if not more.isEmpty():
-        labels = components(links.unionByName(exact_links(more, arrays, percent)))
-    forget(arrays, tiles, rest, members)
+        labels = components(links.unionByName(exact_links(more, texts, k, percent)))
+    forget(tiles, rest, members)
 
     named = written(classes.join(labels.withColumnRenamed("id", "node"), "node", "left")
                     .select("print", F.coalesce("label", "node").alias("component")), "named")
