@@ -18,9 +18,11 @@ group:
 4. *Exact step.* Pairs that pass the bound meet their sorted shingle arrays.
 
 Pairs are tried first against two hubs of each tile (linear in the rows) and
-the links become components. Only tiles whose other sets still lie in
-different components compare them, block against block, in numpy; what leaves
-a task are pairs that pass the bound, not pairs tried.
+the links become components; tiles of the same sets count once. Only tiles
+whose other sets still lie in different components compare them, block against
+block, in numpy. What leaves a task is first a forest of the likeliest links
+between components (fewer pairs than rows), and after their exact step those
+pairs that pass the bound and would still join two components.
 
 Nulls and ties: a null or empty text, or one without words, has no shingles
 and is linked with nothing; its component is itself. A repeated row joins its
@@ -42,7 +44,7 @@ from tessera.llm.textarrays import (NOT_SPACE, byte_table, chunks, hash_runs, mi
                                     shingle_hashes)
 
 GROWTH = 1.25          # ratio of the sizes a band spans
-LEAST_BITS, MOST_BITS = 128, 8192
+LEAST_BITS, MOST_BITS = 128, 16384
 SALTS = 64
 BLOCK_ROWS = 1024
 
@@ -73,8 +75,8 @@ def slices_of(band: int, edges: np.ndarray, percent: int) -> int:
 
 
 def bitmap_width(n: np.ndarray) -> np.ndarray:
-    """Bits of a set's bitmap: the power of two from twice its size on, within limits."""
-    w = 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64)
+    """Bits of a set's bitmap: the power of two from four times its size on, within limits."""
+    w = 1 << np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64)
     return np.clip(w, LEAST_BITS, MOST_BITS)
 
 
@@ -298,9 +300,29 @@ def slice_tiles(arrays: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     return arrays.join(ids, "id", "left_semi").mapInArrow(task, "key long, band long, id long, n long")
 
 
-def block_survivors(rows: DataFrame, percent: int) -> DataFrame:
+def spanning(u, v, bound_j, of) -> np.ndarray:
+    """Indices of the pairs (u, v) that a greedy forest over the components ``of`` takes, likeliest first."""
+    root: dict = {}
+
+    def top(x):
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+    take = []
+    for i in np.argsort(-bound_j, kind="stable").tolist():
+        a, b = top(of[u[i]]), top(of[v[i]])
+        if a != b:
+            root[a] = b
+            take.append(i)
+    return np.array(take, np.int64)
+
+
+def block_survivors(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs of one tile in different components that pass the bit-count bound.
 
+    With ``forest`` a block sends only pairs that, likeliest first, join its
+    components into trees: fewer than it has rows.
+
     ``rows``: (key, band, c, id, n, bits, label). A tile of ``c`` sets is dealt
     into blocks of about ``BLOCK_ROWS`` and every pair of blocks is one group.
     """
@@ -317,7 +339,7 @@ def block_survivors(rows: DataFrame, percent: int) -> DataFrame:
         p, q, own, id_, n, label, raw = group
         words = min(len(x) for x in raw) // 8
         bits = np.stack([fold(np.frombuffer(x, np.uint64), words) for x in raw])
-        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        left, right, found = np.flatnonzero(own == p), np.flatnonzero(own == q), []
         step = max(1, (1 << 21) // max(1, len(right) * words))
         for i in range(0, len(left), step):
             a = left[i:i + step]
@@ -332,8 +354,17 @@ def block_survivors(rows: DataFrame, percent: int) -> DataFrame:
             bound = overlap_bound(na, nb, np.bitwise_count(x & ~y).sum(-1, dtype=np.int64),
                                   np.bitwise_count(y & ~x).sum(-1, dtype=np.int64))
             r, c = np.nonzero(ok & may_link(na, nb, bound, percent))
+            if forest:
+                b = bound[r, c]
+                found.append((a[r], right[c], b / (n[a[r]] + n[right[c]] - b)))
+                continue
             u, v = id_[a[r]], id_[right[c]]
             yield np.minimum(u, v), np.maximum(u, v)
+        if found:
+            r, c, j = (np.concatenate(z) for z in zip(*found))
+            take = spanning(r, c, j, label.tolist())
+            u, v = id_[r[take]], id_[c[take]]
+            yield np.minimum(u, v), np.maximum(u, v)
 
     def task(batches):
         held, at = [], None
@@ -382,26 +413,34 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tiles = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     tiles = written(tiles, "tiles")
 
+    # tiles of the same sets are one; xors of two hashes of the ids tell
     mark = F.struct(F.xxhash64("id").alias("h"), F.col("id"))
-    hubs = written(tiles.groupBy("key", "band").agg(F.count(F.lit(1)).alias("c"), F.min(mark)["id"].alias("low"),
-                                                    F.max(mark)["id"].alias("high")).filter("low <> high"), "hubs")
-    stars = tiles.join(hubs, ["key", "band"]).select(F.explode(F.array("low", "high")).alias("hub"), "id").filter("hub <> id")
+    hubs = (tiles.groupBy("key", "band").agg(
+        F.count(F.lit(1)).alias("c"), F.min(mark)["id"].alias("low"), F.max(mark)["id"].alias("high"),
+        F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("low <> high"))
+    hubs = written(hubs.groupBy("c", "x", "y", "low", "high").agg(F.min(F.struct("key", "band")).alias("tile"))
+                   .select("tile.key", "tile.band", "c", "low", "high"), "hubs")
+    tiles_ = tiles.join(hubs, ["key", "band"])
+    stars = tiles_.select(F.explode(F.array("low", "high")).alias("hub"), "id").filter("hub <> id")
     tried = written(prune(stars.distinct(), sets, percent), "stars")
     links = exact_links(tried, texts, k, percent)
     labels = components(links)
 
-    # tiles whose sets besides the hubs still lie in several components
-    rest = (tiles.join(hubs.filter("c > 3"), ["key", "band"]).filter("id <> low and id <> high")
-            .select("key", "band", "c", "id").join(labels, "id", "left")
-            .withColumn("label", F.coalesce("label", "id")))
-    rest = written(rest, "rest")
-    open_ = written(rest.groupBy("key", "band").agg(F.min("label").alias("a"), F.max("label").alias("b"))
-                    .filter("a <> b").select("key", "band"), "open")
-    more = block_survivors(rest.join(open_, ["key", "band"]).join(sets, "id"), percent)
-    more = written(more.join(tried, ["hub", "id"], "left_anti"), "more")
-    if not more.isEmpty():
-        labels = components(links.unionByName(exact_links(more, texts, k, percent)))
-    forget(tiles, rest, members)
+    # Tiles whose sets besides the hubs lie in several components: first a forest of the likeliest
+    # links between their components, then every pair that passes the bound and still joins two.
+    others = written(tiles_.filter("c > 3 and id <> low and id <> high").select("key", "band", "c", "id"), "others")
+    for forest in (True, False):
+        rest = others.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        open_ = written(rest.groupBy("key", "band").agg(F.min("label").alias("a"), F.max("label").alias("b"))
+                        .filter("a <> b").select("key", "band"), "open")
+        more = block_survivors(rest.join(open_, ["key", "band"]).join(sets, "id"), percent, forest)
+        more = written(more.join(tried, ["hub", "id"], "left_anti"), "more")
+        if more.isEmpty():
+            break
+        links = links.unionByName(exact_links(more, texts, k, percent))
+        tried = tried.unionByName(more)
+        labels = components(links)
+    forget(tiles, others, members)
 
     named = written(classes.join(labels.withColumnRenamed("id", "node"), "node", "left")
                     .select("print", F.coalesce("label", "node").alias("component")), "named")
