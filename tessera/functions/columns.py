@@ -67,6 +67,7 @@ def key_hash_bucket(cols: list[str], buckets: int, salt: str = "") -> Column:
     for i, c in enumerate(cols):
         if i:
             parts.append(F.lit("|"))
-        parts.append(F.col(c).cast("string"))
+        # a null key hashes like any other value, so no side of a split loses its row
+        parts.append(F.coalesce(F.col(c).cast("string"), F.lit("\\N")))
     digest = F.md5(F.concat(*parts))
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % buckets).cast("bigint")

@@ -18,10 +18,10 @@ def parse_py_list(col: str | Column, schema: str = "array<struct<id:int,name:str
     of dicts gives null (the caller can flag it, see ``flag_malformed``).
     """
     text = _c(col)
-    # Replace bare Python constants (preceded by ':' '[' ',' or a blank).
-    text = F.regexp_replace(text, r"(?<=[:\[,\s])None(?=\s*[,}\]])", "null")
-    text = F.regexp_replace(text, r"(?<=[:\[,\s])True(?=\s*[,}\]])", "true")
-    text = F.regexp_replace(text, r"(?<=[:\[,\s])False(?=\s*[,}\]])", "false")
+    # A bare constant has only whole quoted strings after it; one inside a string has not.
+    outside = r"""(?=(?:[^'"]++|'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+")*+$)"""
+    for constant, json_value in (("None", "null"), ("True", "true"), ("False", "false")):
+        text = F.regexp_replace(text, r"(?<=[:\[,\s])" + constant + r"(?=\s*[,}\]])" + outside, json_value)
     return F.from_json(text, schema, {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})
 
 

@@ -98,7 +98,7 @@ def predict_nb(model: NBModel, present: DataFrame, docs: DataFrame, label: str =
     s = nb_scores(model, present, docs, label, doc_id)
     agg = s.groupBy(doc_id).agg(
         F.max("score").alias("m"),
-        F.max(F.struct(F.col("score"), F.negative(F.col(label)).alias("neg"), F.col(label).alias("c")))
+        F.min(F.struct((-F.col("score")).alias("s"), F.col(label).alias("c")))
         .alias("best"),
         *[F.max(F.when(F.col(label) == c, F.col("score"))).alias(f"s_{c}") for c in model.classes])
     denom = sum((F.exp(F.col(f"s_{c}") - F.col("m")) for c in model.classes), F.lit(0.0))
@@ -114,7 +114,7 @@ def informative_features(model: NBModel, n: int = 10, label: str = "label") -> D
         t.select("word", label, F.lit(False).alias("present"), (1 - F.col("theta")).alias("p")))
     agg = per_val.groupBy("word", "present").agg(
         (F.max("p") / F.min("p")).alias("ratio"),
-        F.max(F.struct(F.col("p"), F.negative(F.col(label)).alias("neg"), F.col(label).alias("c")))
+        F.min(F.struct((-F.col("p")).alias("s"), F.col(label).alias("c")))
         .alias("best"))
     return (agg.select("word", "present", "ratio", F.col("best.c").alias("label_max"))
             .orderBy(F.desc("ratio"), F.asc("word"), F.desc("present")).limit(n))

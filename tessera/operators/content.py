@@ -39,15 +39,6 @@ def count_vectors(bags: DataFrame, key: str, bag: str = "bag") -> DataFrame:
             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("n")))
 
 
-# A query item's term list is broadcast only below this many rows (checked by
-# a count); a larger one is joined with an ordinary shuffle join.
-MAX_BROADCAST_TERMS = 1_000_000
-
-
-def _bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_TERMS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def norms(triples: DataFrame, key: str) -> DataFrame:
     return triples.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
 
@@ -55,8 +46,8 @@ def norms(triples: DataFrame, key: str) -> DataFrame:
 def cosine_to_queries(triples: DataFrame, key: str, queries: DataFrame, n: int = 10,
                       include_self: bool = False) -> DataFrame:
     """C5/F6 for a set of query items: ``(query, key, score, rank)``, the top
-    ``n`` items per query by cosine of term counts among the items sharing at
-    least one term with it (ties by key).
+    ``n`` items per query by cosine of term counts (ties by key). Items that
+    share no term with the query score 0 and fill its last ranks in key order.
 
     Only the query rows' terms are joined with the triples, so the pairs
     produced are (query, item sharing a term); the number of queries is the
@@ -68,11 +59,16 @@ def cosine_to_queries(triples: DataFrame, key: str, queries: DataFrame, n: int =
     nrm = norms(triples, key)
     dots = (triples.join(q, "term").groupBy("query", key).agg(F.sum(F.col("n") * F.col("qn")).alias("dot")))
     qn = nrm.select(F.col(key).alias("query"), F.col("norm").alias("qnorm"))
-    # items sharing no term with a query are not paired with it (that would be
-    # a cross product); they have score 0 and are left out here
-    cand = dots.join(nrm, key)
-    scored = (cand.join(qn, "query")
-              .withColumn("score", F.col("dot") / (F.col("qnorm") * F.col("norm"))))
+    scored = (dots.join(nrm, key).join(qn, "query")
+              .select("query", key, (F.col("dot") / (F.col("qnorm") * F.col("norm"))).alias("score")))
+    # A query with fewer than n such items takes zero-score items in key order: of the
+    # first 2n + 1 keys at least n share no term with it, so no item is paired with every query.
+    first = [r[0] for r in nrm.select(key).orderBy(key).limit(2 * n + 1).collect()]
+    if first:
+        fill = qn.join(q.select("query").distinct(), "query", "left_semi") \
+            .select("query", F.explode(F.array(*[F.lit(x) for x in first])).alias(key))
+        fill = fill.join(scored.select("query", key), ["query", key], "left_anti")
+        scored = scored.unionByName(fill.withColumn("score", F.lit(0.0)))
     if not include_self:
         scored = scored.filter(F.col("query") != F.col(key))
     w = Window.partitionBy("query").orderBy(F.desc("score"), F.asc(key))
@@ -83,9 +79,7 @@ def cosine_to_queries(triples: DataFrame, key: str, queries: DataFrame, n: int =
 def recommend_similar(triples: DataFrame, key: str, query, n: int = 10, include_self: bool = False) -> DataFrame:
     """top-``n`` items most similar to one item, ``(key, score, rank)``.
 
-    The query's term list (one bag) is broadcast when its counted size is
-    under ``MAX_BROADCAST_TERMS``; every item's score
-    is its dot product with it over its norms. Items sharing no term score 0,
+    Every item's score is its dot product with it over its norms. Items sharing no term score 0,
     so the top-n over all items equals the reference's sort of the full
     similarity row. Ties by key.
     """
@@ -93,7 +87,7 @@ def recommend_similar(triples: DataFrame, key: str, query, n: int = 10, include_
     qnorm = F.sqrt(F.sum(F.col("qn") * F.col("qn")))
     qn_val = qt.agg(qnorm.alias("q")).collect()[0]["q"]
     nrm = norms(triples, key)
-    dots = (triples.join(_bounded_broadcast(qt), "term").groupBy(key)
+    dots = (triples.join(qt, "term").groupBy(key)
             .agg(F.sum(F.col("n") * F.col("qn")).alias("dot")))
     scored = (nrm.join(dots, key, "left")
               .withColumn("score", F.coalesce(F.col("dot"), F.lit(0)) / (F.lit(qn_val) * F.col("norm"))))
@@ -109,7 +103,7 @@ def jaccard_to_query(triples: DataFrame, key: str, query) -> DataFrame:
     qt = triples.filter(F.col(key) == F.lit(query)).select("term").distinct()
     q_size = qt.count()
     sizes = triples.groupBy(key).agg(F.countDistinct("term").alias("size"))
-    inter = (triples.join(F.broadcast(qt) if q_size <= MAX_BROADCAST_TERMS else qt, "term")
+    inter = (triples.join(qt, "term")
              .groupBy(key).agg(F.countDistinct("term").alias("inter")))
     return inter.join(sizes, key).select(
         key, (F.col("inter") / (F.lit(q_size) + F.col("size") - F.col("inter"))).alias("jaccard"))

@@ -52,10 +52,13 @@ def dense_to_triples(df: DataFrame, key: str, vec: str) -> DataFrame:
     return (df.select(key, F.posexplode(vec).alias("col", "value")).filter(F.col("value") != 0))
 
 
-def triples_to_dense(triples: DataFrame, key: str, width: int) -> DataFrame:
+def triples_to_dense(triples: DataFrame, key: str, width: int, keys: DataFrame | None = None) -> DataFrame:
     """I8: ``(key, col, value)`` -> ``(key, vec)`` of length ``width``, absent = 0.
-    A row's cells are bounded by ``width``."""
+    A row's cells are bounded by ``width``. An all-zero row has no triple; ``keys``
+    (a frame with the key column) brings such rows back."""
     m = triples.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("m"))
+    if keys is not None:
+        m = keys.select(key).distinct().join(m, key, "left")
     return m.select(key, F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
                                      lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("vec"))
 
@@ -72,7 +75,8 @@ def covariance(vectors: DataFrame, vec: str = "vec") -> DataFrame:
     n = stats["count"]
     sd = stats["std"].toArray() * ((n - 1) / n) ** 0.5
     d = len(sd)
-    rows = [(i, j, float(corr[i, j] * sd[i] * sd[j])) for i in range(d) for j in range(d)]
+    # a constant dimension has no correlation (NaN) but covariance 0
+    rows = [(i, j, float(corr[i, j] * sd[i] * sd[j]) if sd[i] > 0 and sd[j] > 0 else 0.0) for i in range(d) for j in range(d)]
     return vectors.sparkSession.createDataFrame(rows, "i int, j int, cov double")
 
 

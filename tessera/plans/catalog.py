@@ -440,7 +440,7 @@ def q_sparse(spark, d):
 @register("dense_roundtrip")
 def q_dense_roundtrip(spark, d):
     ev = embedding_vectors(spark, d)
-    back = fx.triples_to_dense(fx.dense_to_triples(ev, "item_id", "vec"), "item_id", 64)
+    back = fx.triples_to_dense(fx.dense_to_triples(ev, "item_id", "vec"), "item_id", 64, keys=ev)
     return ev.join(back.withColumnRenamed("vec", "back"), "item_id", "left").select(
         "item_id", (F.col("vec") == F.col("back")).alias("same"))
 
