@@ -64,12 +64,13 @@ def one_line(value: str) -> str:
     return " ".join(value.split())
 
 
-def record(kind: str, rid: str, uri: str, date: str, content_type: str, block: bytes, payload: str, more: list[tuple[str, str]]) -> str:
-    """A whole record but for the end separator; every block is UTF-8 text."""
+def record_header(kind: str, rid: str, uri: str, date: str, content_type: str, block: bytes, digest: str,
+                  more: list[tuple[str, str]]) -> str:
+    """A record up to its block."""
     lines = [("WARC-Type", kind), ("WARC-Record-ID", rid), ("WARC-Date", date), ("WARC-Target-URI", uri), *more,
-             ("WARC-Block-Digest", sha1(block)), ("WARC-Payload-Digest", payload), ("Content-Type", content_type),
+             ("WARC-Block-Digest", digest), ("WARC-Payload-Digest", digest), ("Content-Type", content_type),
              ("Content-Length", str(len(block)))]
-    return "WARC/1.1\r\n" + "".join(f"{k}: {one_line(v)}\r\n" for k, v in lines if v) + "\r\n" + block.decode("utf-8")
+    return "WARC/1.1\r\n" + "".join(f"{k}: {one_line(v)}\r\n" for k, v in lines if v) + "\r\n"
 
 
 RESPONSE = "page_id long, record_id string, target_uri string, warc_date string, headers string, page string"
@@ -93,7 +94,7 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str
 
 
 DERIVED = ("page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, "
-           "source_headers string, payload_digest string, block_digest string, content_length long, text string, record string")
+           "source_headers string, payload_digest string, block_digest string, content_length long, text string, header string")
 
 
 def derive(found: DataFrame) -> DataFrame:
@@ -111,13 +112,13 @@ def derive(found: DataFrame) -> DataFrame:
                     ("source-http-headers", json.dumps(headers.split("\r\n"))))) + "".join(f"outlink: {one_line(x)}\r\n" for x in facts["links"])
                 for kind, block, mime in (("metadata", meta, "application/warc-fields"), ("conversion", text, "text/plain; charset=utf-8")):
                     data = block.encode("utf-8")
-                    own = record_id(kind, rid)
+                    own, digest = record_id(kind, rid), sha1(data)
                     more = [("WARC-Refers-To", rid), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date),
                             ("WARC-Source-Payload-Digest", source), ("WARC-Source-HTTP-Headers", json.dumps(headers.split("\r\n")))]
-                    out.append((page_id, kind, own, rid, uri, date, headers, source, sha1(data), len(data), block,
-                                record(kind, own, uri, date, mime, data, sha1(data), more)))
+                    out.append((page_id, kind, own, rid, uri, date, headers, source, digest, len(data), block,
+                                record_header(kind, own, uri, date, mime, data, digest, more)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in DERIVED.split(", ")]).astype({"page_id": "Int64"})
-    return found.mapInPandas(task, DERIVED)
+    return found.mapInPandas(task, DERIVED).withColumn("record", F.concat("header", "text"))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
