@@ -77,16 +77,41 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, names: list[str], rounds: int = 6,
+class Bags:
+    """Views of the sampled texts' cells; shares are made when a text is asked for."""
+
+    def __init__(self, at: np.ndarray, cell: np.ndarray, times: np.ndarray):
+        self.at, self.cell, self.times = at, cell, times
+
+    def __len__(self):
+        return len(self.at) - 1
+
+    def __getitem__(self, i: int):
+        a, b = self.at[i], self.at[i + 1]
+        t = self.times[a:b].astype(np.float32)
+        return self.cell[a:b], t / max(float(t.sum()), 1.0)
+
+
+class Chosen:
+    """Some of the bags, by index."""
+
+    def __init__(self, bags: Bags, rows: np.ndarray):
+        self.bags, self.rows = bags, rows
+
+    def __getitem__(self, i: int):
+        return self.bags[self.rows[i]]
+
+
+def train(bags, label: np.ndarray, names: list[str], rounds: int = 6,
           rate: float = 20.0, seed: int = 3):
     """(embedding @ softmax, bias) from bags of (cells, shares), by stochastic gradient descent."""
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.1, (CELLS, WIDTH)).astype(np.float32)
     weight = rng.normal(0, 0.1, (WIDTH, len(names))).astype(np.float32)
     bias = np.zeros(len(names), np.float32)
-    steps, done = rounds * len(bags), 0
+    steps, done = rounds * len(label), 0
     for _ in range(rounds):
-        for i in rng.permutation(len(bags)):
+        for i in rng.permutation(len(label)):
             cell, part = bags[i]
             lr = rate * (1 - done / steps)
             done += 1
@@ -127,17 +152,20 @@ def fit(docs: DataFrame, learn, sample_rows: int = 4000, calibration: float = 0.
                 yield pa.RecordBatch.from_arrays([cells, counts, *(batch.column(c).slice(i, j - i) for c in (1, 2))],
                                                  names=["cells", "counts", "lang", "apart"])
     part = sample.select("text", "lang", (draw("apart") < calibration).alias("apart")) \
-        .mapInArrow(task, "cells array<int>, counts array<int>, lang string, apart boolean").toPandas()
-    names = sorted(set(part["lang"]))
+        .mapInArrow(task, "cells array<int>, counts array<int>, lang string, apart boolean").toArrow()
+    lang = part.column("lang").to_pylist()
+    names = sorted(set(lang))
     if not names:
         return Model(["und"], np.zeros((CELLS, 1)), np.zeros(1))
-    label = np.array([names.index(x) for x in part["lang"]])
-    bags = [(np.asarray(c, np.int64), np.asarray(t, np.float32) / max(float(np.sum(t)), 1.0)) for c, t in zip(part["cells"], part["counts"])]
-    apart = part["apart"].to_numpy(bool)
+    label = np.array([names.index(x) for x in lang])
+    cells, counts = (part.column(c).combine_chunks() for c in ("cells", "counts"))
+    at, cell, times = cells.offsets.to_numpy(), cells.values.to_numpy(), counts.values.to_numpy()
+    bags = Bags(at, cell, times)
+    apart = np.array(part.column("apart").to_pylist(), bool)
     if apart.all() or not apart.any():
         apart = np.arange(len(label)) % 4 == 3
     fitted = np.flatnonzero(~apart) if (~apart).any() else np.arange(len(label))
-    logit, bias = train([bags[i] for i in fitted], label[fitted], names)
+    logit, bias = train(Chosen(bags, fitted), label[fitted], names)
     model = Model(names, logit.astype(np.float32), bias)
     held = np.flatnonzero(apart)
     if len(held):
