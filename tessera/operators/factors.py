@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS, ALSModel
@@ -18,8 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import clip, cosine
+from tessera.operators.skew import hot_keys, salted_join
 from tessera.session import ensure_checkpoint_dir
 
+BLOCK_RATINGS = 10_000   # least ratings of an ALS block, on average
+
 
 # ------------------------------------------------------------------ statistics
 def matrix_extent(ratings: DataFrame, user: str = "user_id", item: str = "item_id") -> DataFrame:
@@ -83,41 +87,59 @@ def covariance(vectors: DataFrame, vec: str = "vec") -> DataFrame:
 # -------------------------------------------------------------------- baseline
 @dataclass
 class Baseline:
-    mu: DataFrame       # (by..., mu)
-    b_item: DataFrame   # (by..., item, b_i)
-    b_user: DataFrame   # (by..., user, b_u)
+    mu: DataFrame       # (by..., mu, n): one row per group, on the driver
+    b_item: DataFrame   # (by..., item, b_i, n_i), persisted
+    b_user: DataFrame   # (by..., user, b_u, n_u), persisted
     by: list[str]
     user: str
     item: str
+    n: int              # training rows
 
     def transform(self, pairs: DataFrame, low: float = 1.0, high: float = 5.0) -> DataFrame:
         """J10 predict: mu + b_u + b_i (unknown -> 0), clipped to the scale."""
-        out = (pairs.join(F.broadcast(self.mu), self.by) if self.by else
-               pairs.withColumn("mu", F.lit(self.mu.collect()[0]["mu"])))
-        out = (out.join(self.b_item, [*self.by, self.item], "left")
-               .join(self.b_user, [*self.by, self.user], "left"))
+        out = with_mean(pairs, self.mu, self.by)
+        on_item, on_user = [*self.by, self.item], [*self.by, self.user]
+        out = salted_join(out, self.b_item.drop("n_i"), on_item, hot_keys(self.b_item, on_item, "n_i", self.n), [self.user], "left")
+        out = salted_join(out, self.b_user.drop("n_u"), on_user, hot_keys(self.b_user, on_user, "n_u", self.n), [self.item], "left")
         est = F.col("mu") + F.coalesce("b_u", F.lit(0.0)) + F.coalesce("b_i", F.lit(0.0))
         return out.withColumn("baseline", est).withColumn("prediction", clip(est, low, high)) \
             .drop("mu", "b_u", "b_i")
 
+    def release(self) -> None:
+        """Drop the persisted offsets (after the last use of what ``transform`` returned)."""
+        self.b_item.unpersist()
+        self.b_user.unpersist()
+
+
+def with_mean(df: DataFrame, mu: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with the mean of its group (``mu``: one row per group)."""
+    means = F.broadcast(mu.drop("n"))
+    return df.join(means, by) if by else df.withColumn("mu", F.lit(mu.first()["mu"]).cast("double"))
+
 
 def fit_baseline(ratings: DataFrame, reg_item: float = 10.0, reg_user: float = 15.0, by: list[str] | None = None,
                  user: str = "user_id", item: str = "item_id", rating: str = "rating") -> Baseline:
     """Global mean plus damped item and user offsets:
     b_i = sum(r - mu) / (reg_item + n_i);  b_u = sum(r - mu - b_i) / (reg_user + n_u).
 
-    ``by`` fits one model per group (e.g. per cross-validation fold) in the
-    same plan. All three are hash aggregates with map-side combine.
+    ``by`` fits one model per group (e.g. per cross-validation fold; few groups)
+    in the same plan. All three are hash aggregates with map-side combine; the
+    groups' means are read once, the offsets are persisted, and hot items and
+    users are salted where offsets are joined back.
     """
     by = list(by or [])
     r = F.col(rating).cast("double")
-    mu = ratings.groupBy(*by).agg(F.avg(r).alias("mu"))
-    with_mu = ratings.join(F.broadcast(mu), by) if by else ratings.withColumn("mu", F.lit(mu.collect()[0]["mu"]))
-    b_item = with_mu.groupBy(*by, item).agg((F.sum(r - F.col("mu")) / (reg_item + F.count(F.lit(1)))).alias("b_i"))
-    b_user = (with_mu.join(b_item, [*by, item])
-              .groupBy(*by, user).agg((F.sum(r - F.col("mu") - F.col("b_i")) / (reg_user + F.count(F.lit(1))))
-                                      .alias("b_u")))
-    return Baseline(mu, b_item, b_user, by, user, item)
+    mu = ratings.groupBy(*by).agg(F.avg(r).alias("mu"), F.count(F.lit(1)).alias("n"))
+    groups = mu.collect()
+    mu, n = ratings.sparkSession.createDataFrame(groups, mu.schema), sum(g["n"] for g in groups)
+    with_mu = with_mean(ratings, mu, by)
+    on_item = [*by, item]
+    b_item = with_mu.groupBy(*on_item).agg((F.sum(r - F.col("mu")) / (reg_item + F.count(F.lit(1)))).alias("b_i"),
+                                           F.count(F.lit(1)).alias("n_i")).persist(StorageLevel.MEMORY_AND_DISK)
+    known = salted_join(with_mu, b_item.drop("n_i"), on_item, hot_keys(b_item, on_item, "n_i", n), [user])
+    b_user = known.groupBy(*by, user).agg((F.sum(r - F.col("mu") - F.col("b_i")) / (reg_user + F.count(F.lit(1)))).alias("b_u"),
+                                          F.count(F.lit(1)).alias("n_u")).persist(StorageLevel.MEMORY_AND_DISK)
+    return Baseline(mu, b_item, b_user, by, user, item, n)
 
 
 def cv_copies(ratings: DataFrame, fold: str, k: int, name: str = "cv_fold") -> tuple[DataFrame, DataFrame]:
@@ -170,9 +192,9 @@ def fit_factors(ratings: DataFrame, rank: int = 50, reg: float = 0.1, iters: int
     resid = (base.transform(ratings.select(user, item, rating))
              .select(F.col(user).cast("int").alias("__u"), F.col(item).cast("int").alias("__i"),
                      (F.col(rating) - F.col("baseline")).alias("__r")))
-    # one user block and one item block per core of the cluster (Spark's own
-    # guidance); more blocks only add shuffle rounds per iteration
-    blocks = blocks or ratings.sparkSession.sparkContext.defaultParallelism
+    # at most one user block and one item block per core, and no more than the
+    # ratings fill: blocks route to each other, so their pairs grow as a square
+    blocks = blocks or min(ratings.sparkSession.sparkContext.defaultParallelism, base.n // BLOCK_RATINGS + 1)
     als = ALS(rank=rank, maxIter=iters, regParam=reg, userCol="__u", itemCol="__i", ratingCol="__r",
               coldStartStrategy="nan", seed=seed, checkpointInterval=5, numUserBlocks=blocks,
               numItemBlocks=blocks).setPredictionCol("__f")

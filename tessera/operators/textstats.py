@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import clean_tokens, explode_terms, is_breaker, key_words as key_words_col, tokenize
+from tessera.operators.skew import hot_keys, salted_join
 
 
 def doc_tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", clean: bool = False,
@@ -85,7 +86,8 @@ def key_words(docs: DataFrame, k: int = 10, text: str = "text", doc_id: str = "d
 def tfidf(tokens: DataFrame, col: str = "tokens", doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, term, tf, df, tfidf)`` with idf = ln((N + 1) / (df + 1))
     (Spark ML's ``IDF`` formula). Term counts and document frequencies are
-    both hash aggregates; the document count is one scalar aggregate."""
+    both hash aggregates; the document count is one scalar aggregate. Terms
+    with a large share of the (document, term) rows are dealt over salts."""
     from pyspark import StorageLevel
     # tf feeds both the scores and the document frequencies: persisted so the
     # corpus is tokenised once (memory, spilling to disk)
@@ -94,7 +96,8 @@ def tfidf(tokens: DataFrame, col: str = "tokens", doc_id: str = "doc_id") -> Dat
           .persist(StorageLevel.MEMORY_AND_DISK))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_docs = tokens.count()
-    return (tf.join(df, "term")
+    hot = hot_keys(df, ["term"], "df", tf.count())
+    return (salted_join(tf, df, ["term"], hot, [doc_id])
             .withColumn("tfidf", F.col("tf") * F.log(F.lit(n_docs + 1.0) / (F.col("df") + 1))))
 
 
