@@ -21,8 +21,10 @@ Pairs are tried first against two hubs of each tile (linear in the rows) and
 the links become components; tiles of the same sets count once. Only tiles
 whose other sets still lie in different components compare them, block against
 block, in numpy. What leaves a task is first a forest of the likeliest links
-between components (fewer pairs than rows), and after their exact step those
-pairs that pass the bound and would still join two components.
+between components (fewer pairs than rows) and the rows of the other pairs that
+pass. After the forest's exact step these rows meet again with bitmaps of
+``WIDE`` times their size, and the pairs that pass this bound too and would
+still join two components go to the exact step.
 
 Nulls and ties: a null or empty text, or one without words, has no shingles
 and is linked with nothing; its component is itself. A repeated row joins its
@@ -45,6 +47,7 @@ from tessera.llm.textarrays import (NOT_SPACE, byte_table, chunks, hash_runs, mi
 
 GROWTH = 1.25          # ratio of the sizes a band spans
 LEAST_BITS, MOST_BITS = 128, 8192
+WIDE, MOST_WIDE_BITS = 16, 1 << 16   # of the second comparison
 SALTS = 64
 BLOCK_ROWS = 1024
 
@@ -74,10 +77,10 @@ def slices_of(band: int, edges: np.ndarray, percent: int) -> int:
     return differ + 2 + differ // 8
 
 
-def bitmap_width(n: np.ndarray) -> np.ndarray:
-    """Bits of a set's bitmap: the power of two from twice its size on, within limits."""
-    w = 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64)
-    return np.clip(w, LEAST_BITS, MOST_BITS)
+def bitmap_width(n: np.ndarray, times: int = 2, most: int = MOST_BITS) -> np.ndarray:
+    """Bits of a set's bitmap: the power of two from ``times`` its size on, within limits."""
+    w = 1 << np.ceil(np.log2(np.maximum(times * n, 1))).astype(np.int64)
+    return np.clip(w, LEAST_BITS, most)
 
 
 def shingle_sets(column, k: int, with_length: bool = False):
@@ -190,6 +193,21 @@ def shingle_arrays(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(task, "id long, shingles array<long>")
 
 
+def wide_bitmaps(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, n, bits) with bitmaps of ``WIDE`` times the size of the texts whose id is in ``ids`` (and few others)."""
+    chosen = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+
+    def task(batches):
+        for batch in batches:
+            part = batch.filter(passes(chosen.value, batch.column(0)))
+            sets = [u for _, u, _ in shingle_sets(part.column(1), k)] if part.num_rows else []
+            bits = [bitmap(u, int(bitmap_width(np.array(len(u)), WIDE, MOST_WIDE_BITS))) for u in sets]
+            if sets:
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(u) for u in sets], pa.int64()),
+                                                  pa.array(bits, pa.binary())], names=["id", "n", "bits"])
+    return docs.mapInArrow(task, "id long, n long, bits binary").dropDuplicates()
+
+
 def exact_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (hub, id) that link, by intersecting their sorted arrays (a written table).
 
@@ -317,22 +335,27 @@ def spanning(u, v, bound_j, of) -> np.ndarray:
     return np.array(take, np.int64)
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (key, band, c, id) of tiles of ``c`` sets dealt into blocks of about ``BLOCK_ROWS``; a pair
+    of blocks (key, band, p, q) is one group, ``own`` the row's block."""
+    blocks = F.ceil(F.col("c") / BLOCK_ROWS).cast("int")
+    return (rows.withColumn("blocks", blocks)
+            .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")))
+
+
 def block_survivors(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs of one tile in different components that pass the bit-count bound.
+    """Pairs of one group in different components that pass the bit-count bound: (key, band, p, q, own, hub, id).
 
-    With ``forest`` a block sends only pairs that, likeliest first, join its
-    components into trees: fewer than it has rows.
+    With ``forest`` a group sends only pairs that, likeliest first, join its
+    components into trees, fewer than it has rows, and after them the rows
+    (hub null) of all other pairs that pass. Without, it sends all pairs.
 
-    ``rows``: (key, band, c, id, n, bits, label). A tile of ``c`` sets is dealt
-    into blocks of about ``BLOCK_ROWS`` and every pair of blocks is one group.
+    ``rows``: (key, band, p, q, own, id, n, label, bits).
     """
-    blocks = F.ceil(F.col("c") / BLOCK_ROWS).cast("int")
-    dealt = (rows.withColumn("blocks", blocks)
-             .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("key", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
-                     "own", "id", "n", "label", "bits"))
-    dealt = dealt.repartition("key", "band", "p", "q").sortWithinPartitions("key", "band", "p", "q")
+    dealt = rows.select("key", "band", "p", "q", "own", "id", "n", "label", "bits") \
+        .repartition("key", "band", "p", "q").sortWithinPartitions("key", "band", "p", "q")
 
     def compare(group):
         """group: arrays own, id, n, label and bitmaps of one pair of blocks."""
@@ -365,6 +388,8 @@ def block_survivors(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
             take = spanning(r, c, j, label.tolist())
             u, v = id_[r[take]], id_[c[take]]
             yield np.minimum(u, v), np.maximum(u, v)
+            again = np.unique(np.concatenate([np.delete(r, take), np.delete(c, take)]))
+            yield None, again
 
     def task(batches):
         held, at = [], None
@@ -373,7 +398,11 @@ def block_survivors(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
             if len(held) > 1:
                 own, id_, n, label = (np.array([h[i] for h in held]) for i in range(4))
                 for u, v in compare((at[2], at[3], own, id_, n, label, [h[4] for h in held])):
-                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["hub", "id"])
+                    rows = u is None   # v: which rows
+                    of = [pa.array(own[v], pa.int32()), pa.nulls(len(v), pa.int64()), pa.array(id_[v])] if rows else \
+                        [pa.nulls(len(v), pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64())]
+                    group = [pa.array(np.full(len(v), x), t) for x, t in zip(at, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(group + of, names=["key", "band", "p", "q", "own", "hub", "id"])
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
             for key, band, p, q, own, id_, n, label, bits in zip(*cols):
@@ -382,7 +411,14 @@ def block_survivors(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
                     held, at = [], (key, band, p, q)
                 held.append((own, id_, n, label, bits))
         yield from done()
-    return dealt.mapInArrow(task, "hub long, id long").distinct()
+    return dealt.mapInArrow(task, "key long, band long, p int, q int, own int, hub long, id long")
+
+
+def still_open(rows: DataFrame, labels: DataFrame, group: list[str]) -> DataFrame:
+    """``rows`` with their component's label, of groups that lie in several components."""
+    named = rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    several = named.groupBy(*group).agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select(*group)
+    return named.join(written(several, "open"), group)
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
@@ -427,20 +463,28 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labels = components(links)
 
     # Tiles whose sets besides the hubs lie in several components: first a forest of the likeliest
-    # links between their components, then every pair that passes the bound and still joins two.
+    # links between their components, then the rows of the other pairs that passed meet with wide bitmaps.
     others = written(tiles_.filter("c > 3 and id <> low and id <> high").select("key", "band", "c", "id"), "others")
-    for forest in (True, False):
-        rest = others.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        open_ = written(rest.groupBy("key", "band").agg(F.min("label").alias("a"), F.max("label").alias("b"))
-                        .filter("a <> b").select("key", "band"), "open")
-        more = block_survivors(rest.join(open_, ["key", "band"]).join(sets, "id"), percent, forest)
-        more = written(more.join(tried, ["hub", "id"], "left_anti"), "more")
-        if more.isEmpty():
-            break
-        links = links.unionByName(exact_links(more, texts, k, percent))
-        tried = tried.unionByName(more)
+    forget(tiles, members)
+    found = in_blocks(still_open(others, labels, ["key", "band"]).join(sets, "id"))
+    found = written(block_survivors(found, percent, forest=True), "found")
+    fresh = found.filter("hub is not null").select("hub", "id").distinct().join(tried, ["hub", "id"], "left_anti")
+    fresh = written(fresh, "forest")
+    if not fresh.isEmpty():
+        links = links.unionByName(exact_links(fresh, texts, k, percent))
+        tried = tried.unionByName(fresh)
         labels = components(links)
-    forget(tiles, others, members)
+    again = found.filter("hub is null").select("key", "band", "p", "q", "own", "id")
+    again = written(still_open(again, labels, ["key", "band", "p", "q"]), "again")
+    if not again.isEmpty():
+        wide = written(wide_bitmaps(texts, again.select("id").distinct(), k), "wide")
+        more = block_survivors(again.join(wide, "id"), percent, forest=False).select("hub", "id").distinct()
+        more = written(more.join(tried, ["hub", "id"], "left_anti"), "more")
+        forget(wide)
+        if not more.isEmpty():
+            links = links.unionByName(exact_links(more, texts, k, percent))
+            labels = components(links)
+    forget(others, found, again)
 
     named = written(classes.join(labels.withColumnRenamed("id", "node"), "node", "left")
                     .select("print", F.coalesce("label", "node").alias("component")), "named")
