@@ -45,17 +45,10 @@ def passes(words: np.ndarray, ids: pa.Array) -> pa.Array:
 def without_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """``rows`` without those whose id is in ``ids`` (one column); rows without an id stay.
 
-    Rows that the fixed-size filter clears pass without a shuffle; only the
-    others are joined.
+    Both sides of the join come from an exchange, so a hot id can be split;
+    rows without an id don't take part in it.
     """
-    ids = ids.toDF("__dropped").filter("__dropped is not null").distinct()
-    sent = rows.sparkSession.sparkContext.broadcast(id_filter(ids))
-
-    def part(wanted: bool):
-        def task(batches):
-            for batch in batches:
-                may = passes(sent.value, batch.column(id_col))
-                yield batch.filter(may if wanted else pa.array(~np.asarray(may)))
-        return rows.mapInArrow(task, rows.schema)
-    again = part(True)
-    return part(False).unionByName(again.join(ids, again[id_col] == ids["__dropped"], "left_anti"))
+    ids = ids.toDF("__dropped").filter("__dropped is not null")
+    known = rows.filter(F.col(f"`{id_col}`").isNotNull())
+    kept = known.join(ids, known[f"`{id_col}`"] == ids["__dropped"], "left_anti")
+    return kept.union(rows.filter(F.col(f"`{id_col}`").isNull()))
