@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import exact, jaccard, language, mixing, neighbours, packing, quality, sharding, toxicity, warc
+from tessera.llm import exact, idfilter, jaccard, language, mixing, neighbours, packing, quality, sharding, toxicity, warc
 from tessera.llm.labelled import platt, sigmoid
 from tessera.llm.queries import vocabulary
 
@@ -105,6 +105,30 @@ def test_jaccard_components(spark, odd, k, percent, crowd):
     assert Counter((r.id, r.n_shingles, r.component_id) for r in got) == Counter(components_of(rows, k, percent))
 
 
+def test_jaccard_near_threshold(spark, monkeypatch):
+    """One base text with edits: many pairs pass the narrow bound and few link, so rows meet again with wide bitmaps."""
+    rng = random.Random(11)
+    base = ["w%d" % i for i in range(120)]
+    rows = []
+    for d in range(70):
+        t = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            t[rng.randrange(len(t))] = "e%d" % rng.randrange(10 ** 6)
+        rows.append((d, " ".join(t), "en", "a"))
+    met, plain = [], jaccard.wide_bitmaps
+    monkeypatch.setattr(jaccard, "wide_bitmaps", lambda *a: met.append(1) or plain(*a))
+    got = jaccard.jaccard_join(frame(spark, rows), k=5, percent=80).collect()
+    assert met
+    assert Counter((r.id, r.n_shingles, r.component_id) for r in got) == Counter(components_of(rows, 5, 80))
+
+
+def test_without_ids(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, None)], "doc_id long, __dropped string")
+    ids = spark.createDataFrame([(1,), (1,), (None,), (9,)], "doc_id long")
+    assert Counter(map(tuple, idfilter.without_ids(rows, ids, "doc_id").collect())) == Counter([(2, "c"), (None, "d"), (3, None)])
+    assert idfilter.without_ids(rows, ids.limit(0), "doc_id").count() == 5
+
+
 def test_jaccard_empty(spark):
     assert jaccard.jaccard_join(empty(spark)).count() == 0
 
