@@ -45,10 +45,10 @@ def passes(words: np.ndarray, ids: pa.Array) -> pa.Array:
 def without_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """``rows`` without those whose id is in ``ids`` (one column); rows without an id stay.
 
-    Both sides of the join come from an exchange, so a hot id can be split;
-    rows without an id don't take part in it.
+    Both sides of the join come from an exchange at every size, so a hot id can
+    be split; rows without an id don't take part in it.
     """
-    ids = ids.toDF("__dropped").filter("__dropped is not null")
+    ids = ids.toDF("__dropped").filter("__dropped is not null").hint("merge")
     known = rows.filter(F.col(f"`{id_col}`").isNotNull())
     kept = known.join(ids, known[f"`{id_col}`"] == ids["__dropped"], "left_anti")
     return kept.union(rows.filter(F.col(f"`{id_col}`").isNull()))
