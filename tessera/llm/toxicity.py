@@ -10,10 +10,12 @@ log-likelihoods under both models (per distinct expression), calibrated on
 labelled rows that the counts leave out.
 
 The discount is the same relative frequency in both classes, so an expression
-that is rare backs off in both and cancels. It is at least ``share`` of a
-class's counts, hence at most 1 / share expressions keep evidence of their own
-in a class: that bounds the tables sent to the tasks. The counts themselves
-cover every labelled row to learn from and are aggregated by Spark.
+that is rare backs off in both and cancels: ``discount`` texts in the smaller
+class, at every size, and as many times more in the larger one as that has more
+counts. Every expression above it keeps evidence of its own. The tables are
+aggregated by Spark, stay in a written table and are sent to the tasks in
+slices of at most about ``SLICE`` expressions. A task that meets more than one
+slice holds one at a time, so memory doesn't grow with their number.
 
 Nulls and ties: a null or empty text, or one without letters, has ratio 0.
 Of repeated labels of one id the larger holds. Without labels of both classes
@@ -27,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,6 +41,7 @@ from tessera.llm.textarrays import LETTERS, chunks
 ORDER = 4          # bytes of an expression
 LOWER = 0.75       # discount of the shared continuation counts
 BLANK = 0x20
+SLICE = 1 << 22    # expressions sent to the tasks in one table (12 bytes each, contexts besides)
 
 
 def letter_stream(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,29 +92,55 @@ def counts(rows: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Model:
-    """Log ratios (toxic - ordinary) of expressions with evidence, and of contexts' backoff weights."""
+class Slice:
+    """Log ratios (toxic - ordinary) of expressions with evidence, and of contexts' backoff weights;
+    expressions from ``first`` up to ``end``."""
+    first: int
+    end: int
     grams: np.ndarray
     ratio: np.ndarray
     contexts: np.ndarray
     backoff: np.ndarray
+
+    def of(self, gram: np.ndarray) -> np.ndarray:
+        """Log ratio of every expression."""
+        at, known = find(self.contexts, (gram >> 8).astype(np.uint32))
+        r = np.where(known, self.backoff[at], 0.0)
+        at, known = find(self.grams, gram.astype(np.uint32))
+        return np.where(known, self.ratio[at], r)
+
+
+@dataclass
+class Model:
+    """Slices (broadcast) that cover all expressions, and the calibration."""
+    slices: list
     slope: float = 1.0
     offset: float = 0.0
 
     def ratios(self, column) -> np.ndarray:
         """Log-likelihood ratio per distinct expression of every text."""
+        kept = [(i, j, *expressions(buf, off)) for i, j, buf, off in chunks(column)]
+        found = [np.zeros(len(gram)) for _, _, gram, _ in kept]
+        for sent in self.slices:
+            part = sent.value
+            for (_, _, gram, _), r in zip(kept, found):
+                mine = slice(None) if len(self.slices) == 1 else (gram >= part.first) & (gram < part.end)
+                r[mine] = part.of(gram[mine])
+            if len(self.slices) > 1:
+                unload(sent)
         out = []
-        for i, j, buf, off in chunks(column):
-            gram, doc = expressions(buf, off)
-            at, known = find(self.contexts, gram >> 8)
-            r = np.where(known, self.backoff[at], 0.0)
-            at, known = find(self.grams, gram)
-            r = np.where(known, self.ratio[at], r)
+        for (i, j, _, doc), r in zip(kept, found):
             n = np.bincount(doc, minlength=j - i)
             out.append(np.bincount(doc, r, minlength=j - i) / np.maximum(n, 1))
         return np.concatenate(out) if out else np.zeros(0)
 
 
+def unload(sent):
+    """Let a task drop a broadcast value; it is read again from the executor's file when asked for."""
+    if getattr(sent, "_path", None) is not None and TaskContext.get() is not None:
+        sent.__dict__.pop("_value", None)
+
+
 def find(keys: np.ndarray, of: np.ndarray):
     """(index, whether it is there) of values in sorted keys."""
     at = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
@@ -138,15 +168,14 @@ def shared_backoff(grams: DataFrame) -> DataFrame:
     return below
 
 
-def fit_counts(rows: DataFrame, discount: float = 0.75, share: float = 2e-6) -> Model:
+def fit_counts(rows: DataFrame, discount: float = 0.75) -> Model:
     """The models from all rows (id, text, label)."""
     grams = written(counts(rows), "expressions")
     total = grams.agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o")).first()
     nt, no = float(total["t"] or 0), float(total["o"] or 0)
     if not nt or not no:
-        return Model(np.zeros(1, np.int64), np.zeros(1), np.zeros(1, np.int64), np.zeros(1))
-    least = max(discount, share * min(nt, no))
-    dt, do = least * nt / min(nt, no), least * no / min(nt, no)
+        return Model([])
+    dt, do = discount * nt / min(nt, no), discount * no / min(nt, no)
     context = Window.partitionBy(F.shiftrightunsigned("gram", 8))
     seen = grams
     for side, d in (("toxic", dt), ("ordinary", do)):
@@ -156,16 +185,34 @@ def fit_counts(rows: DataFrame, discount: float = 0.75, share: float = 2e-6) ->
                 .withColumn(f"back_{side}", F.when(all_ > 0, F.greatest(1 - F.sum(over).over(context) / all_, F.lit(1e-4))).otherwise(1.0)))
     kept = seen.filter((F.col("p_toxic") > 0) | (F.col("p_ordinary") > 0)) \
         .withColumn("tail", F.col("gram").bitwiseAND(F.lit((1 << 8 * (ORDER - 1)) - 1))).join(shared_backoff(grams), "tail")
-    found = kept.select("gram", "p_toxic", "p_ordinary", "back_toxic", "back_ordinary", "p").toPandas().sort_values("gram")
-    gram, pt, po, bt, bo, p = (found[c].to_numpy() for c in found.columns)
+    kept = written(kept.select("gram", "p_toxic", "p_ordinary", "back_toxic", "back_ordinary", "p"), "evidence")
+    return Model([rows.sparkSession.sparkContext.broadcast(part(kept, lo, hi)) for lo, hi in ranges(kept)])
+
+
+def ranges(kept: DataFrame) -> list[tuple[int, int]]:
+    """Neighbouring ranges of expressions with at most about ``SLICE`` rows each; a context is in one of them."""
+    step = 8 * (ORDER - 2)   # no more than 2^16 groups
+    sizes = sorted(kept.groupBy(F.shiftrightunsigned("gram", step).alias("g")).agg(F.count(F.lit(1)).alias("n")).collect())
+    cuts, held = [0], 0
+    for g, n in sizes:
+        if held and held + n > SLICE:
+            cuts.append(g << step)
+            held = 0
+        held += n
+    return list(zip(cuts, [*cuts[1:], 1 << 8 * ORDER])) if sizes else []
+
+
+def part(kept: DataFrame, lo: int, hi: int) -> Slice:
+    found = kept.filter((F.col("gram") >= lo) & (F.col("gram") < hi)).toArrow()
+    order = np.argsort(found.column("gram").to_numpy())
+    gram, pt, po, bt, bo, p = (found.column(c).to_numpy()[order] for c in found.column_names)
     contexts, first = np.unique(gram >> 8, return_index=True)
-    if not len(gram):
-        return Model(np.zeros(1, np.int64), np.zeros(1), np.zeros(1, np.int64), np.zeros(1))
-    return Model(gram, np.log(pt + bt * p) - np.log(po + bo * p), contexts, (np.log(bt) - np.log(bo))[first])
+    return Slice(lo, hi, gram.astype(np.uint32), np.log(pt + bt * p) - np.log(po + bo * p), contexts.astype(np.uint32),
+                 (np.log(bt) - np.log(bo))[first])
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out, label_col: str = "toxic", calibration: float = 0.2,
-        calibration_rows: int = 20000, discount: float = 0.75, share: float = 2e-6, id_col: str = "doc_id",
+        calibration_rows: int = 20000, discount: float = 0.75, id_col: str = "doc_id",
         text_col: str = "text") -> Model:
     """Model and calibration from the labelled documents that ``held_out`` doesn't hold back.
 
@@ -175,14 +222,13 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, label_col: str = "toxic",
     known = learning_labels(labels, label_col, held_out, id_col)
     rows = written(labelled_texts(docs, known, id_col, text_col), "labelled")
     apart = draw("calibration") < calibration
-    model = fit_counts(rows.filter(~apart), discount, share)
+    model = fit_counts(rows.filter(~apart), discount)
     n = rows.filter(apart).count()
     sample = rows.filter(apart & (draw("sample") <= min(1.0, calibration_rows / max(n, 1))))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(sent.value.ratios(batch.column(0))), batch.column(1)], names=["ratio", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(model.ratios(batch.column(0))), batch.column(1)], names=["ratio", "label"])
     seen = sample.select("text", "label").mapInArrow(task, "ratio double, label int").toPandas()
     model.slope, model.offset = platt(seen["ratio"].to_numpy(float), seen["label"].to_numpy())
     return model
@@ -190,12 +236,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, label_col: str = "toxic",
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ratio, score) of every row: log-likelihood ratio per word and calibrated probability of toxic."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
     def task(batches):
         for batch in batches:
-            r = sent.value.ratios(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(r), pa.array(sigmoid(sent.value.slope * r + sent.value.offset))],
+            r = model.ratios(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(r), pa.array(sigmoid(model.slope * r + model.offset))],
                                              names=["id", "ratio", "score"])
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
         .mapInArrow(task, "id long, ratio double, score double")
@@ -203,10 +247,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_clean(docs: DataFrame, model: Model, least: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is below ``least``, with all their columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
     def task(batches):
         for batch in batches:
-            r = sent.value.ratios(batch.column(text_col))
-            yield batch.filter(pa.array(sigmoid(sent.value.slope * r + sent.value.offset) < least))
+            r = model.ratios(batch.column(text_col))
+            yield batch.filter(pa.array(sigmoid(model.slope * r + model.offset) < least))
     return docs.mapInArrow(task, docs.schema)
