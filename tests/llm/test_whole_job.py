@@ -2,7 +2,7 @@
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm import toxicity
+from tessera.llm import mixing, toxicity
 
 
 def test_toxicity_evidence_at_any_size(spark, monkeypatch):
@@ -22,3 +22,24 @@ def test_toxicity_evidence_at_any_size(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts.to_pylist())], "doc_id long, text string")
     got = {r.id: r.ratio for r in toxicity.score(docs, cut).collect()}
     assert [got[i] for i in range(5)] == whole.tolist()
+
+
+def test_mixing_keeps_every_source(spark, monkeypatch):
+    """More than 512 sources: names stay, targets by name hold, and raking by Spark equals raking on the driver."""
+    rows = [(i, f"w{i % 7} " * (5 + i % 11), ["en", "fr", "de"][i // 3 % 3], "big" if i % 3 == 1 else f"s{i % 700}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix_sources(docs, 0.5).toPandas()
+    assert dict(zip(got["id"], got["source"])) == {i: s for i, _, _, s in rows}
+    aim = {"source": {"big": 0.5, **{f"s{i}": 0.5 / 700 for i in range(700)}}}
+    aimed = mixing.mix_sources(docs, 0.3, targets=aim).toPandas()
+    mass = (aimed["tokens"] * aimed["probability"]).groupby(aimed["source"]).sum()
+    assert abs(mass["big"] / mass.sum() - 0.5) < 0.05
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
+    monkeypatch.setattr(mixing, "ROUNDS_A_TABLE", 3)
+    cells = spark.createDataFrame([(f"s{i % 9}", "abc"[i % 3], str(i % 4), 10 + i * i % 97) for i in range(36)],
+                                  "source string, lang string, topic string, tokens long")
+    cells = cells.groupBy(*mixing.AXES).agg(mixing.F.sum("tokens").alias("tokens"))
+    for targets in (None, {"source": {"s1": 0.4, "s2": 0.3, "s3": 0.3}}):
+        want = {tuple(r[:3]): r[4] for r in mixing.probabilities(cells, 0.5, 0.7, targets).itertuples(index=False)}
+        have = {tuple(r[:3]): r[3] for r in mixing.raked_table(cells, 0.5, 0.7, targets).collect()}
+        assert set(want) == set(have) and max(abs(want[c] - have[c]) for c in want) < 1e-6
