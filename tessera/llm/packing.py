@@ -1,15 +1,14 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Every source is a queue of its documents' tokens. Windows of ``width`` tokens
-are filled in rounds: in each, every source earns ``width * share`` tokens of
-credit and sends what it has earned; the fraction left over (its deficit) is
-carried to the next window. Served credit is the floor of the running sum of
-shares, so the state after any number of windows is a formula of that number:
-a task that knows where its documents stand in their queues cuts them into
-windows by itself, and deficits carry over partitions without passing rows
-along. When a queue runs dry within a window the others share its room, and a
-new round-robin starts with the remaining sources. Only the last window can be
-short.
+are filled in the order of virtual time: a queue sends its tokens evenly, at a
+speed of its share, and each window takes the next ``width`` tokens of all
+queues. So every window holds the target shares, but for a queue's fraction of
+a token and what the other queues' fractions add up to, which is dealt over all
+of them by share. The tokens sent by a virtual time are a formula of it: a task
+that knows where its documents stand in their queues cuts them into windows by
+itself, and fractions carry over partitions without passing rows along. When a
+queue runs dry the others share its room. Only the last window can be short.
 
 Documents stand in their queue in the order of the written token table. Default shares are the sources' own token shares, so all
 queues end together.
@@ -32,7 +31,8 @@ from pyspark.sql.window import Window
 from tessera.llm.shared import written
 from tessera.llm.textarrays import SPACES, byte_table, chunks, hash_runs, ragged
 
-MAX_QUEUES = 4096      # sources beyond this many share queues by the hash of their name
+MAX_QUEUES = 4096      # beyond this many sources, those of less than a token a window share queues
+MATRIX = 1 << 20       # counts (window, queue) computed at once
 CACHE_WORDS = 1 << 21  # distinct words whose ids a worker remembers
 
 
@@ -217,95 +217,145 @@ def tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 class Rounds:
     """Which window and offset each queue position goes to.
 
-    ``totals`` are the queues' tokens, ``shares`` their target shares. A round
-    is one window, or as many as let the largest queue take what the others'
-    carried fractions leave. After k rounds a queue has sent floor(k * credit)
-    tokens, the largest one the rest of the k rounds.
+    ``totals`` are the queues' tokens, ``shares`` their target shares. By the
+    virtual time v a queue has sent floor(v * share + phase) tokens, at most its
+    total; phases spread queues of equal shares. A window ends at the least v by
+    which all have sent enough; of tokens of the same time those of the first
+    queues go first. Queues without a share follow the others, by their totals.
     """
 
     def __init__(self, totals: list[int], shares: list[float], width: int):
         self.width = width
-        self.round = width * max(1, -(-len(totals) ** 2 // width))
-        left = np.array(totals, np.int64)
-        share = np.array(shares, float)
-        served, at = np.zeros(len(left), np.int64), 0
-        self.spans = []   # (first token, rounds, tokens served before and after, credits, largest queue, tokens taken)
-        while left.sum() > 0:
-            live = left > 0
-            w = np.where(live, share, 0.0)
-            if not w.sum() > 0:   # only queues without a target are left
-                w = np.where(live, left, 0).astype(float)
-            credit, big = w / w.sum() * self.round, int(np.argmax(w))
-            low, high = 0, int(left.sum() // self.round)
-            while low < high:     # the most whole rounds that every queue can serve
-                mid = (low + high + 1) // 2
-                low, high = (mid, high) if (self.sent(credit, big, mid) <= left).all() else (low, mid - 1)
-            if low:
-                took = self.sent(credit, big, low)
-                self.spans.append((at, low, served, served + took, credit, big, None))
-                left, served, at = left - took, served + took, at + low * self.round
-            if left.sum() == 0:
-                break
-            take = np.minimum(self.sent(credit, big, 1), left)   # a queue runs dry: the fullest share its room
-            room = min(self.round, int(left.sum())) - int(take.sum())
-            for q in np.argsort(-(left - take), kind="stable"):
-                more = min(room, int(left[q] - take[q]))
-                take[q] += more
-                room -= more
-            self.spans.append((at, 1, served, served + take, None, 0, take))
-            left, served, at = left - take, served + take, at + int(take.sum())
-
-    def sent(self, credit: np.ndarray, big: int, k):
-        """Tokens each queue has sent after ``k`` rounds (last axis: queues)."""
-        out = np.floor(np.multiply.outer(k, credit)).astype(np.int64)
-        out[..., big] = 0
-        out[..., big] = np.asarray(k) * self.round - out.sum(-1)
+        self.totals = np.array(totals, np.int64)
+        share = np.maximum(np.array(shares, float), 0.0)
+        self.total = int(self.totals.sum())
+        self.phase = np.arange(len(self.totals)) * 0.6180339887498949 % 1.0
+        self.turns = []    # (queues, speeds, tokens before, tokens up to here, fluid knots: time, tokens)
+        before = 0
+        for who, speed in ((np.flatnonzero((share > 0) & (self.totals > 0)), share),
+                           (np.flatnonzero(~(share > 0) & (self.totals > 0)), self.totals.astype(float))):
+            if not len(who):
+                continue
+            n, speed = self.totals[who], speed[who] / speed[who].sum()
+            dry = np.sort((n + 1) / speed)
+            order = np.argsort((n + 1) / speed, kind="stable")
+            going = np.concatenate([[1.0], 1.0 - np.cumsum(speed[order])])[:-1]
+            sent = np.cumsum(np.diff(dry, prepend=0.0) * np.maximum(going, 0.0))
+            last = np.concatenate([[0.0], dry]), np.concatenate([[0.0], np.maximum.accumulate(sent)])
+            self.turns.append((who, speed, before, before + int(n.sum()), last))
+            before += int(n.sum())
+
+    def counts(self, turn, v: np.ndarray) -> np.ndarray:
+        """Tokens sent by each of the turn's queues at times ``v``."""
+        who, speed = turn[:2]
+        out = np.floor(np.minimum(np.multiply.outer(v, speed) + self.phase[who], self.totals[who])).astype(np.int64)
+        out[v <= 0] = 0
         return out
 
-    def cut(self, queue: int, start: np.ndarray, n: np.ndarray):
-        """Pieces of the positions start..start+n of one queue: (row, position, length, window, offset)."""
-        out = []
-        for at, rounds, before, after, credit, big, take in self.spans:
-            a = np.maximum(start, before[queue]) - before[queue]
-            b = np.minimum(start + n, after[queue]) - before[queue]
-            row = np.flatnonzero(a < b)
-            if not len(row):
+    def sent(self, k: np.ndarray) -> np.ndarray:
+        """Tokens each queue has sent after ``k`` windows (last axis: queues)."""
+        goal = np.minimum(np.asarray(k, np.int64) * self.width, self.total)
+        out = np.zeros((len(goal), len(self.totals)), np.int64)
+        for turn in self.turns:
+            who, speed, first, end, (time, fluid) = turn
+            whole = goal >= end
+            out[np.ix_(whole, who)] = self.totals[who]
+            at = np.flatnonzero((goal > first) & ~whole)
+            if not len(at):
                 continue
-            a, b = a[row], b[row]
-            if take is not None:
-                token = at + int(take[:queue].sum()) + a
-            else:
-                # every round from the one that holds a to the one that holds b - 1
-                first, last = self.holding(credit, big, queue, a, rounds), self.holding(credit, big, queue, b - 1, rounds)
-                k = ragged(first, last - first + 1)
-                row, a, b = (np.repeat(x, last - first + 1) for x in (row, a, b))
-                some = np.unique(k)
-                lo, hi = self.sent(credit, big, some), self.sent(credit, big, some + 1)
-                i = np.searchsorted(some, k)
-                edge, skip = lo[i, queue], (hi - lo)[:, :queue].sum(1)[i]
-                a, b = np.maximum(a, edge), np.minimum(b, hi[i, queue])
-                token = at + k * self.round + skip + a - edge
-            # a piece that crosses the end of a window is cut there
-            parts = np.where(b > a, (token + b - a - 1) // self.width - token // self.width + 1, 0)
-            j = ragged(np.zeros_like(parts), parts)
-            row, a, b, token = (np.repeat(x, parts) for x in (row, a, b, token))
-            x = np.maximum(token, (token // self.width + j) * self.width)
-            y = np.minimum(token + b - a, (token // self.width + j + 1) * self.width)
-            out.append((row, before[queue] + a + x - token, y - x, x // self.width, x % self.width))
+            want = goal[at] - first
+            # times are searched as the integers that order them; the fluid count is off by a token a queue at most
+            slack = 2.0 * len(who) + 2 + 1e-6 * want
+            low = np.interp(want - slack, fluid, time).view(np.int64) * (want > slack)
+            high = np.nextafter(np.where(want + slack < fluid[-1], np.interp(want + slack, fluid, time), time[-1] * 2), np.inf).view(np.int64)
+            low = np.where(self.counts(turn, low.view(float)).sum(1) < want, low, 0)
+            high = np.where(self.counts(turn, high.view(float)).sum(1) >= want, high, np.float64(time[-1] * 2).view(np.int64))
+            while (high - low > 1).any():
+                mid = low + (high - low) // 2
+                enough = self.counts(turn, mid.view(float)).sum(1) >= want
+                low, high = np.where(enough, low, mid), np.where(enough, mid, high)
+            sure = self.counts(turn, low.view(float))
+            tied = self.counts(turn, high.view(float)) - sure
+            room = (want - sure.sum(1))[:, None]
+            out[np.ix_(at, who)] = sure + np.clip(room - (np.cumsum(tied, 1) - tied), 0, tied)
+        return out
+
+    def holding(self, queue: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """The window in which a queue sends each position."""
+        guess = np.zeros(len(position), np.int64)
+        for turn in self.turns:
+            who, speed, first = turn[:3]
+            place = np.full(len(self.totals), -1)
+            place[who] = np.arange(len(who))
+            mine = np.flatnonzero(place[queue] >= 0)
+            rows = max(1, MATRIX // max(1, len(self.totals)))
+            for lo in range(0, len(mine), rows):
+                r = mine[lo:lo + rows]
+                v = (position[r] + 1 - self.phase[queue[r]]) / speed[place[queue[r]]]
+                guess[r] = (first + self.counts(turn, v).sum(1) - 1) // self.width
+        low = np.clip(guess, 0, max(0, (self.total - 1) // self.width))
+        while True:
+            u, back = np.unique(low, return_inverse=True)
+            off = np.zeros(len(low), np.int64)
+            rows = max(1, MATRIX // max(1, len(self.totals)))
+            for lo in range(0, len(u), rows):
+                mine = np.flatnonzero((back >= lo) & (back < lo + rows))
+                i, q = back[mine] - lo, queue[mine]
+                some = u[lo:lo + rows]
+                off[mine] = (self.sent(some + 1)[i, q] <= position[mine]).astype(int) - (self.sent(some)[i, q] > position[mine])
+            if not off.any():
+                return low
+            low = np.clip(low + off, 0, max(0, (self.total - 1) // self.width))
+
+    def cut(self, queue, start: np.ndarray, n: np.ndarray):
+        """Pieces of the positions start..start+n of a queue (one for all, or one each): (row, position, length, window, offset)."""
+        if not len(start):
+            return [np.zeros(0, np.int64)] * 5
+        queue = np.broadcast_to(np.asarray(queue, np.int64), len(start))
+        some = np.flatnonzero(n > 0)
+        edge = self.holding(np.tile(queue[some], 2), np.concatenate([start[some], (start + n)[some] - 1]))
+        first, last = edge[:len(some)], edge[len(some):]
+        row, k = np.repeat(some, last - first + 1), ragged(first, last - first + 1)
+        order = np.argsort(k, kind="stable")
+        row, k = row[order], k[order]
+        windows, begin = np.unique(k, return_index=True)
+        begin = np.append(begin, len(k))
+        out = []
+        rows = max(1, MATRIX // max(1, len(self.totals)))
+        for lo in range(0, len(windows), rows):
+            part = windows[lo:lo + rows]
+            ends, at = np.unique(np.concatenate([part, part + 1]), return_inverse=True)
+            sent = self.sent(ends)
+            low, high = sent[at[:len(part)]], sent[at[len(part):]]
+            skip = np.cumsum(high - low, 1) - (high - low)
+            piece = slice(begin[lo], begin[lo + len(part)])
+            r, w = row[piece], k[piece]
+            i, q = np.searchsorted(part, w), queue[r]
+            a, b = np.maximum(start[r], low[i, q]), np.minimum(start[r] + n[r], high[i, q])
+            has = b > a
+            out.append([z[has] for z in (r, a, b - a, w, skip[i, q] + a - low[i, q])])
         return [np.concatenate(z) for z in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
 
-    def holding(self, credit, big, queue, position, rounds):
-        """The round in which a queue sends each position."""
-        low, high = np.zeros(len(position), np.int64), np.full(len(position), rounds - 1)
-        guess = (position / max(credit[queue], 1e-9)).astype(np.int64)
-        slack = len(credit) / max(credit[queue], 1e-9) + 2
-        low = np.clip(guess - int(slack) - 1, 0, rounds - 1)
-        high = np.clip(guess + int(slack) + 1, 0, rounds - 1)
-        while (low < high).any():
-            mid = (low + high) // 2
-            enough = self.sent(credit, big, mid + 1)[:, queue] > position
-            low, high = np.where(enough, low, mid + 1), np.where(enough, mid, high)
-        return low
+
+def queue_names(per: DataFrame, width: int, targets: dict | None) -> DataFrame:
+    """(name, queue_name, n, share) of every source: a queue each, or, where there are more than ``MAX_QUEUES``
+    sources, those of less than a token a window in queues by the hash of their name. Shares are
+    by source; sources without a target have queues of their own."""
+    by = per.groupBy("name").agg(F.sum("n").alias("n"))
+    if targets is None:
+        by = by.withColumn("share", F.col("n").cast("double"))
+    else:
+        given = per.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "name string, share double")
+        by = by.join(given, "name", "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    by = written(by, "sources")
+    if by.count() <= MAX_QUEUES:
+        return by.withColumn("queue_name", F.col("name"))
+    total = by.agg(F.sum("share")).first()[0] or 0.0
+    groups = max(1, MAX_QUEUES // 2, MAX_QUEUES - width)
+    small = F.col("share") * F.lit(float(width)) < F.lit(total) if total else F.lit(True)
+    hashed = F.concat(F.when(F.col("share") > 0, F.lit("\0group")).otherwise(F.lit("\0rest")),
+                      F.pmod(F.xxhash64("name"), F.lit(groups)).cast("string"))
+    return by.withColumn("queue_name", F.when(small, hashed).otherwise(F.col("name")))
 
 
 PIECES = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -324,13 +374,10 @@ def pack(docs: DataFrame, vocabulary: str, width: int = 1024, targets: dict | No
     name = F.coalesce("source", F.lit("\0null"))
     per = table.groupBy("part", name.alias("name")).agg(F.sum("n").alias("n"))
     per = written(per, "parts")
-    if per.select("name").distinct().count() > MAX_QUEUES:
-        queued = per.withColumn("queue_name", F.pmod(F.xxhash64("name"), F.lit(MAX_QUEUES)).cast("string"))
-    else:
-        queued = per.withColumn("queue_name", F.col("name"))
-    queues = sorted(queued.groupBy("queue_name").agg(F.sum("n").alias("n")).collect())
-    totals = [q["n"] for q in queues]
-    shares = totals if targets is None else [float(targets.get(q["queue_name"], 0.0)) for q in queues]
+    sources = queue_names(per, width, targets)
+    queued = per.join(sources.select("name", "queue_name"), "name")
+    queues = sorted(sources.groupBy("queue_name").agg(F.sum("n").alias("n"), F.sum("share").alias("share")).collect())
+    totals, shares = [q["n"] for q in queues], [q["share"] for q in queues]
     plan = spark.sparkContext.broadcast(Rounds(totals, shares, width))
     numbers = spark.createDataFrame([(q["queue_name"], i) for i, q in enumerate(queues)], "queue_name string, queue int")
     earlier = Window.partitionBy("queue").orderBy("part", "name").rowsBetween(Window.unboundedPreceding, -1)
@@ -347,12 +394,7 @@ def pack(docs: DataFrame, vocabulary: str, width: int = 1024, targets: dict | No
                 n, queue, start = (batch.column(i).to_numpy() for i in (1, 3, 4))
                 flat = [np.frombuffer(x.as_buffer(), "<u2" if len(x.as_buffer()) == 2 * m else "<u4").astype("<u4")
                         for x, m in zip(batch.column(2), n)]
-                found = []
-                for q in np.unique(queue):
-                    mine = np.flatnonzero(queue == q)
-                    row, *rest = rounds.cut(int(q), start[mine], n[mine])
-                    found.append((mine[row], *rest))
-                row, at, length, window, offset = (np.concatenate(z) for z in zip(*found))
+                row, at, length, window, offset = rounds.cut(queue, start, n)
                 order = np.lexsort((at, row))
                 row, at, length, window, offset = (z[order] for z in (row, at, length, window, offset))
                 ends = np.concatenate([[0], np.cumsum(length)]) * 4

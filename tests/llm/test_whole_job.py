@@ -2,7 +2,7 @@
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm import mixing, toxicity
+from tessera.llm import mixing, packing, toxicity
 
 
 def test_toxicity_evidence_at_any_size(spark, monkeypatch):
@@ -43,3 +43,41 @@ def test_mixing_keeps_every_source(spark, monkeypatch):
         want = {tuple(r[:3]): r[4] for r in mixing.probabilities(cells, 0.5, 0.7, targets).itertuples(index=False)}
         have = {tuple(r[:3]): r[3] for r in mixing.raked_table(cells, 0.5, 0.7, targets).collect()}
         assert set(want) == set(have) and max(abs(want[c] - have[c]) for c in want) < 1e-6
+
+
+def window_counts(totals, shares, width):
+    rounds = packing.Rounds(totals, shares, width)
+    out = np.zeros((-(-sum(totals) // width), len(totals)), int)
+    seen = []
+    for q, n in enumerate(totals):
+        _, _, length, window, offset = rounds.cut(q, np.array([0]), np.array([n]))
+        np.add.at(out[:, q], window, length)
+        seen.append(np.concatenate([window[i] * width + offset[i] + np.arange(length[i]) for i in range(len(length))]))
+    assert (np.sort(np.concatenate(seen)) == np.arange(sum(totals))).all()
+    return out
+
+
+def test_every_window_holds_its_shares():
+    """100 equal queues: each in every window, not about ten of them; also next to a large one."""
+    each = window_counts([1024] * 100, [1.0] * 100, 1024)
+    assert each[:-1].min() >= 9 and each[:-1].max() <= 12
+    each = window_counts([40000] + [400] * 100, [0.5] + [0.005] * 100, 1000)
+    assert abs(each[:-1, 0] - 500).max() <= 8 and each[:-1, 1:].min() >= 4 and each[:-1, 1:].max() <= 6
+    # queues of less than a token a window, and one without a target after all others
+    each = window_counts([60] * 300 + [500], [1.0] * 300 + [0.0], 100)
+    assert each[:179].sum(axis=1).tolist() == [100] * 179 and each[:180, -1].sum() == 0 and each[:179].max() <= 1
+
+
+def test_targets_by_source_with_many_queues(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 80)
+    rows = [(i, "one two three four " * 8, "big" if i % 2 else f"s{i % 400}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(docs, packing_vocabulary(), 64, {"big": 0.75, **{f"s{i}": 0.25 / 200 for i in range(0, 400, 2)}}).toPandas()
+    each = got[got["id"] % 2 == 1].groupby("sequence_id")["length"].sum()
+    assert (each.loc[:100] - 48).abs().max() <= 6
+    assert got["length"].sum() == got.drop_duplicates("id")["doc_tokens"].sum()
+
+
+def packing_vocabulary():
+    from tessera.llm.queries import vocabulary
+    return vocabulary()
