@@ -5,7 +5,9 @@ placed in a leaf by descending to the nearest centre. A query walks the tree
 best bin first: a priority queue holds the branches passed by, ordered by their
 centres' distance, and leaves are visited in that order. The number of visits is
 widened until the recall of calibration queries, measured against brute force
-over all vectors, reaches ``recall``.
+over all vectors, reaches ``recall``: of queries as they come, and of distinct
+vectors, so copies don't speak for the rest. A query whose leaves hold fewer
+than ``k`` rows of other ids goes on until they do or no leaf is left.
 
 Search is a join of visited (query, leaf) pairs with the leaves' vectors. A
 leaf is dealt into blocks of about ``BLOCK`` vectors, so a leaf that holds a
@@ -77,11 +79,11 @@ class Tree:
             stack += [(child, rows[owner == c]) for c, child in enumerate(children) if (owner == c).any()]
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves of a best-bin-first walk."""
+    def visit(self, q: np.ndarray, most: int, sizes: np.ndarray | None = None, rows: int = 0) -> list[int]:
+        """The first ``most`` leaves of a best-bin-first walk, and as many more as it takes to hold ``rows`` by their ``sizes``."""
         found, heap = [], [(0.0, 0, self.root)]
-        serial = 0
-        while heap and len(found) < most:
+        serial, held = 0, 0
+        while heap and (len(found) < most or held < rows):
             _, _, node = heapq.heappop(heap)
             while node >= 0:
                 centres, children = self.nodes[node]
@@ -93,6 +95,7 @@ class Tree:
                         heapq.heappush(heap, (float(far[c]), serial, child))
                 node = children[near]
             found.append(-1 - node)
+            held += 0 if sizes is None else int(sizes[-1 - node])
         return found
 
 
@@ -185,18 +188,24 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, samp
     indexed = written(rows.mapInArrow(place, "id long, v array<double>, leaf long"), "indexed")
     queries = rows.filter(is_query(F.col("id")))
     visits = calibrated_visits(queries, indexed, tree, k, recall, calibration_queries)
+    blocks = written(indexed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
+    sizes = np.zeros(tree.leaves, np.int64)   # as many leaves as the sample gave
+    for leaf, size in blocks.select("leaf", "n").collect():
+        sizes[leaf] = size
+    # rows with the query's own id are no candidates
+    own = queries.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    queries = queries.join(own, "id").select("id", "v", "own")
 
     def walk(batches):
         for batch in batches:
             x = matrix(batch.column(1))
-            leaves = [sent.value.visit(q, visits) for q in x]
+            leaves = [sent.value.visit(q, visits, sizes, k + own) for q, own in zip(x, batch.column(2).to_pylist())]
             row = np.repeat(np.arange(len(x)), [len(z) for z in leaves])
             flat = np.array([z for y in leaves for z in y], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(flat)],
                                              names=["id", "v", "leaf"])
     asked = queries.mapInArrow(walk, "id long, v array<double>, leaf long")
-    blocks = indexed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    blocks = written(blocks, "blocks")
+    blocks = blocks.select("leaf", "blocks")
     held = indexed.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")) \
         .select("leaf", "block", F.lit(False).alias("asks"), "id", "v")
     asking = asked.join(blocks, "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
@@ -232,7 +241,13 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, samp
 
 
 def calibrated_visits(queries: DataFrame, indexed: DataFrame, tree: Tree, k: int, recall: float, how_many: int) -> int:
-    """The fewest leaves to visit at which the calibration queries' recall reaches ``recall``."""
+    """The fewest leaves to visit at which the recall of calibration queries reaches ``recall``, both of
+    ``how_many`` queries as they come and of ``how_many`` with distinct vectors."""
+    distinct = queries.groupBy(F.xxhash64("v").alias("h")).agg(F.min_by("v", "id").alias("v"), F.min("id").alias("id")).select("id", "v")
+    return max(visits_of(some, indexed, tree, k, recall, how_many) for some in (queries, distinct))
+
+
+def visits_of(queries: DataFrame, indexed: DataFrame, tree: Tree, k: int, recall: float, how_many: int) -> int:
     n = queries.count()
     order = F.xxhash64(F.lit("ask"), "id")
     some = queries.filter(F.pmod(order, F.lit(1 << 20)) / F.lit(float(1 << 20)) <= min(1.0, 4 * how_many / max(n, 1))) \

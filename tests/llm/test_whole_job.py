@@ -2,7 +2,7 @@
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm import mixing, packing, toxicity
+from tessera.llm import mixing, neighbours, packing, toxicity
 
 
 def test_toxicity_evidence_at_any_size(spark, monkeypatch):
@@ -81,3 +81,19 @@ def test_targets_by_source_with_many_queues(spark, monkeypatch):
 def packing_vocabulary():
     from tessera.llm.queries import vocabulary
     return vocabulary()
+
+
+def test_isolated_queries_get_k_rows(spark):
+    """Nearly all queries sit among 25 copies in one leaf; one among nine others gets its 20 rows too."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(161, 8))
+    x = np.concatenate([np.repeat(x[:160], 25, axis=0), x[160] + 0.01 * rng.normal(size=(10, 8))])
+    x /= np.sqrt((x ** 2).sum(axis=1, keepdims=True))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, lambda c: c % 20 == 0, k=20, leaf_rows=30).toPandas()
+    assert set(got["query_id"]) == set(range(0, 4010, 20)) and (got.groupby("query_id").size() == 20).all()
+    assert set(range(4001, 4010)) <= set(got[got["query_id"] == 4000]["vec_id"])
+    # its own repeated rows are no candidates and don't count
+    more = df.union(spark.createDataFrame([(4000, x[4000].tolist())] * 15, df.schema))
+    some = neighbours.search(more, lambda c: c == 4000, k=20, leaf_rows=30).toPandas()
+    assert set(some["query_id"]) == {4000} and len(some) == 20 and 4000 not in set(some["vec_id"])
