@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import exact, jaccard, language, mixing, neighbours, packing, quality, sharding, toxicity, warc
+from tessera.llm import exact, jaccard, language, mixing, neighbours, packing, quality, sharding, structure, toxicity, warc
 from tessera.llm.labelled import third
 from tessera.llm.shared import id_remainder, table
 
@@ -72,17 +72,81 @@ def op10_toxicity(spark, sf_dir):
     return scored(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), third(1))), 0.7)
 
 
+def op11_structure(spark, sf_dir):
+    return structure.repair(structure.damage(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_language, op2_warc, op3_exact_dedup, op4_packing, op5_jaccard, op6_quality, op7_sharding,
-                                   op8_neighbours, op9_mixing, op10_toxicity, pipeline)}
+                                   op8_neighbours, op9_mixing, op10_toxicity, op11_structure, pipeline)}
 
 ORACLE = {
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    # every state of the walk over a conversation's rows, cheapest first: an insert or two before a row, then its edit
+    "op11_structure": """
+        WITH RECURSIVE bits AS (
+            SELECT list(v ORDER BY b) AS t FROM (
+                SELECT b, list_reduce(list_prepend(b::BIGINT, range(8)), lambda x, k:
+                                      CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256) r(b))),
+        filled AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+        hit AS (
+            SELECT f.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::BIGINT)),
+                            lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 20 AS hit FROM filled f, bits),
+        damaged AS (
+            SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+                   CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+            FROM hit, unnest(range(CASE WHEN hit = 3 THEN 2 ELSE 1 END)) WHERE hit <> 0),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth,
+                   right(rtrim(text, e' \t\n\x0b\x0c\r'), 1) AS tail, left(role, 1) AS one FROM damaged),
+        judged AS (
+            SELECT conv_id, turn, role, text, i, one, lag(one) OVER (PARTITION BY conv_id ORDER BY i) || one AS two,
+                   CASE WHEN tail = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' END AS fault
+            FROM placed),
+        sizes AS (SELECT conv_id, max(i) AS n FROM judged GROUP BY conv_id),
+        walk(conv_id, i, state, cost, audit, lines) AS (
+            SELECT conv_id, 0::BIGINT, '', 0, '', []::VARCHAR[] FROM (SELECT DISTINCT conv_id FROM judged)
+            UNION ALL (
+            WITH more AS (
+                SELECT w.conv_id, w.i, cost + 2 * k AS cost, audit || repeat('I', k) AS audit,
+                       CASE WHEN k = 0 THEN state WHEN (state = 'u') = (k = 1) THEN 'a' ELSE 'u' END AS state,
+                       lines || CASE WHEN k = 0 THEN []::VARCHAR[] WHEN state = 'u' THEN ['assistant:', 'user:'][1:k] ELSE ['user:', 'assistant:'][1:k] END AS lines
+                FROM walk w, range(3) r(k)),
+            edited AS (
+                SELECT m.conv_id, m.i + 1 AS i, unnest(CASE
+                    WHEN fault IN ('blank', 'duplicate') THEN [struct_pack(state := state, cost := cost + 3, audit := audit || 'D', lines := lines)]
+                    ELSE list_filter([
+                        struct_pack(state := state, cost := cost + 3, audit := audit || 'D', lines := lines),
+                        struct_pack(state := CASE WHEN one <> '' AND state || one IN ('s', 'u', 'su', 'ua', 'au') THEN one ELSE 'x' END,
+                                    cost := cost + (fault IS NOT NULL)::INT, audit := audit || 'K', lines := lines || [role || ':' || text]),
+                        struct_pack(state := CASE WHEN state = 'u' THEN 'a' ELSE 'u' END, cost := cost + 2 + (fault IS NOT NULL)::INT, audit := audit || 'R',
+                                    lines := lines || [CASE WHEN state = 'u' THEN 'assistant:' ELSE 'user:' END || text])], lambda e: e.state <> 'x') END, recursive := true)
+                FROM more m JOIN judged j ON j.conv_id IS NOT DISTINCT FROM m.conv_id AND j.i = m.i + 1)
+            SELECT conv_id, i, state, cost, audit, lines FROM edited
+            QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1)),
+        ends AS (
+            SELECT w.conv_id, cost + CASE state WHEN 's' THEN 4 WHEN 'u' THEN 2 ELSE 0 END AS cost,
+                   audit || CASE state WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END AS audit,
+                   lines || CASE state WHEN 's' THEN ['user:', 'assistant:'] WHEN 'u' THEN ['assistant:'] ELSE []::VARCHAR[] END AS lines
+            FROM walk w JOIN sizes s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.n = w.i),
+        ended AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1),
+        counted AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                   count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+        SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+               coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+               coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, e'\n'), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+             LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id""",
 }
