@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import exact, jaccard, language, mixing, neighbours, packing, quality, sharding, structure, toxicity, warc
+from tessera.llm import exact, jaccard, language, mixing, neighbours, packing, quality, sharding, structure, substrings, toxicity, warc
 from tessera.llm.labelled import third
 from tessera.llm.shared import id_remainder, table
 
@@ -76,13 +76,19 @@ def op11_structure(spark, sf_dir):
     return structure.repair(structure.damage(table(spark, sf_dir, "conversations")))
 
 
+def op12_substrings(spark, sf_dir):
+    found = substrings.drop_repeats(table(spark, sf_dir, "documents"), k=35)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_language, op2_warc, op3_exact_dedup, op4_packing, op5_jaccard, op6_quality, op7_sharding,
-                                   op8_neighbours, op9_mixing, op10_toxicity, op11_structure, pipeline)}
+                                   op8_neighbours, op9_mixing, op10_toxicity, op11_structure, op12_substrings,
+                                   pipeline)}
 
 ORACLE = {
     "op3_exact_dedup": """
@@ -107,10 +113,9 @@ ORACLE = {
             FROM hit, unnest(range(CASE WHEN hit = 3 THEN 2 ELSE 1 END)) WHERE hit <> 0),
         placed AS (
             SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
-                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth,
                    right(rtrim(text, e' \t\n\x0b\x0c\r'), 1) AS tail, left(role, 1) AS one FROM damaged),
         judged AS (
-            SELECT conv_id, turn, role, text, i, one, lag(one) OVER (PARTITION BY conv_id ORDER BY i) || one AS two,
+            SELECT conv_id, turn, role, text, i, one, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, lag(one) OVER (PARTITION BY conv_id ORDER BY i) || one AS two,
                    CASE WHEN tail = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' END AS fault
             FROM placed),
         sizes AS (SELECT conv_id, max(i) AS n FROM judged GROUP BY conv_id),
@@ -149,4 +154,17 @@ ORACLE = {
                coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, e'\n'), '')) AS repaired_sha256
         FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
              LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id""",
+    "op12_substrings": """
+        WITH split AS (
+            SELECT doc_id, row_number() OVER () AS r,
+                   list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '') AS words FROM documents),
+        starts AS (SELECT r, words, unnest(range(1, len(words) - 33)) AS i FROM split),
+        windows AS (SELECT r, i, count(*) OVER (PARTITION BY array_to_string(words[i:i + 34], ' ')) AS n FROM starts),
+        gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS place FROM windows WHERE n > 1),
+        lists AS (SELECT r, list(place) AS cut FROM gone GROUP BY r),
+        kept AS (
+            SELECT doc_id, len(words) AS n, coalesce(len(cut), 0) AS c, CASE WHEN cut IS NULL THEN words ELSE
+                   list_transform(list_sort(list_filter(range(1, len(words) + 1), lambda x: NOT list_contains(cut, x))), lambda x: words[x]) END AS stay
+            FROM split LEFT JOIN lists USING (r))
+        SELECT doc_id, n::BIGINT AS n_words, c::BIGINT AS n_removed, sha256(coalesce(array_to_string(stay, ' '), '')) AS kept_sha256 FROM kept""",
 }

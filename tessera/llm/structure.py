@@ -242,8 +242,8 @@ def in_order(rows: DataFrame) -> DataFrame:
     end = F.substring(F.rtrim("text", F.lit(SPACES)), -1, 1)
     fault = F.when(end == "", "blank").when(F.col("nth") > 1, "duplicate").when(~end.isin(".", "!", "?"), "truncated")
     return (dealt.withColumn("nth", F.row_number().over(same))
-            .select("conv_id", "turn", "role", "text", "dropped", fault.alias("fault"))
-            .sortWithinPartitions("conv_id", "dropped", F.col("turn").asc_nulls_first(), "role", "text"))
+            .sortWithinPartitions("conv_id", "dropped", F.col("turn").asc_nulls_first(), "role", "text", "nth")
+            .select("conv_id", "turn", "role", "text", "dropped", fault.alias("fault")))
 
 
 RESULT = ("conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, "
