@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import exact, jaccard, language, mixing, neighbours, packing, quality, sharding, structure, substrings, toxicity, warc
+from tessera.llm import exact, jaccard, language, mixing, negatives, neighbours, packing, quality, sharding, structure, substrings, toxicity, warc
 from tessera.llm.labelled import third
 from tessera.llm.shared import id_remainder, table
 
@@ -81,6 +81,11 @@ def op12_substrings(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_negatives(spark, sf_dir):
+    return negatives.mine(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, top=5,
+                          relabel=lambda i, label: F.when(i % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -88,7 +93,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_language, op2_warc, op3_exact_dedup, op4_packing, op5_jaccard, op6_quality, op7_sharding,
                                    op8_neighbours, op9_mixing, op10_toxicity, op11_structure, op12_substrings,
-                                   pipeline)}
+                                   op13_negatives, pipeline)}
 
 ORACLE = {
     "op3_exact_dedup": """
@@ -167,4 +172,20 @@ ORACLE = {
                    list_transform(list_sort(list_filter(range(1, len(words) + 1), lambda x: NOT list_contains(cut, x))), lambda x: words[x]) END AS stay
             FROM split LEFT JOIN lists USING (r))
         SELECT doc_id, n::BIGINT AS n_words, c::BIGINT AS n_removed, sha256(coalesce(array_to_string(stay, ' '), '')) AS kept_sha256 FROM kept""",
+    "op13_negatives": """
+        WITH whole AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        pairs AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+            FROM whole a, whole b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, (row_number() OVER near)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN pairs USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        WINDOW near AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER near <= 5""",
 }
