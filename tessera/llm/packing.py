@@ -101,8 +101,12 @@ class WordIds:
         self.known = np.zeros(0, np.uint64)
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.text_at, self.text_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.text, self.written = np.zeros(1 << 18, np.uint8), 0
 
-    def learn(self, key: np.ndarray, ids: np.ndarray, size: np.ndarray):
+    def learn(self, key: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """Keep the ids and the bytes of words whose hashes aren't known."""
+        ids, size = self.encode_words(buf, starts, ends)
         if self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids[:self.used], np.zeros(max(len(ids), self.used), np.uint32)])
         self.ids[self.used:self.used + len(ids)] = ids
@@ -112,6 +116,24 @@ class WordIds:
         self.known = np.insert(self.known, where, key[order])
         self.at, self.size = np.insert(self.at, where, at), np.insert(self.size, where, size[order])
         self.used += len(ids)
+        length = ends - starts
+        total = int(length.sum())
+        if self.written + total > len(self.text):
+            self.text = np.concatenate([self.text[:self.written], np.zeros(max(total, self.written), np.uint8)])
+        self.text[self.written:self.written + total] = buf[ragged(starts, length)]
+        self.text_at = np.insert(self.text_at, where, (self.written + np.cumsum(length) - length)[order])
+        self.text_size = np.insert(self.text_size, where, length[order])
+        self.written += total
+
+    def strangers(self, buf, starts, ends, where) -> np.ndarray:
+        """Words whose bytes differ from those of the known word with their hash."""
+        length = ends - starts
+        same = self.text_size[where] == length
+        like = np.flatnonzero(same)
+        differ = buf[ragged(starts[like], length[like])] != self.text[ragged(self.text_at[where[like]], length[like])]
+        if differ.any():
+            same[like[np.repeat(np.arange(len(like)), length[like])[differ]]] = False
+        return np.flatnonzero(~same)
 
     def encode_words(self, buf, starts, ends):
         """(ids, number of ids of each word)"""
@@ -166,10 +188,15 @@ class WordIds:
             self.clear()
             new = np.arange(len(u))
         if len(new):
-            self.learn(u[new], *self.encode_words(buf, starts[first[new]], ends[first[new]]))
+            self.learn(u[new], buf, starts[first[new]], ends[first[new]])
         where = np.searchsorted(self.known, u)[back]
-        size = self.size[where]
-        ids = self.ids[ragged(self.at[where], size)]
+        at, size, known = self.at[where], self.size[where], self.ids
+        odd = self.strangers(buf, starts, ends, where)
+        if len(odd):
+            more, size[odd] = self.encode_words(buf, starts[odd], ends[odd])
+            at[odd] = len(known) + np.cumsum(size[odd]) - size[odd]
+            known = np.concatenate([known, more])
+        ids = known[ragged(at, size)]
         sums = np.concatenate([[0], np.cumsum(size)])
         cut = np.searchsorted(starts, off)
         return ids, sums[cut[1:]] - sums[cut[:-1]]

@@ -7,6 +7,8 @@ nor (but for a few bytes a word) on the length of one text.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,7 +16,6 @@ import pyarrow.compute as pc
 CHUNK = 1 << 21       # bytes of text handled at a time
 BLOCK = 1 << 19       # bytes hashed at a time
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -79,41 +80,42 @@ def runs(buf: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.ndarr
     return starts, np.flatnonzero(last) + 1, np.searchsorted(off, starts, "right") - 1
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
+PLACES = 64           # places of a word whose values are kept in a table
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n <= BLOCK + 4096:
-        if 0 not in _powers:
-            _powers[0] = _make_powers(BLOCK + 4096)
-        a, b = _powers[0]
-        return a[:n], b[:n]
-    return _make_powers(n)
 
-
-def _make_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _INVERSE):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+@lru_cache(maxsize=2)
+def _place_table(folded: bool) -> np.ndarray:
+    """A 64-bit value for each place below ``PLACES`` and byte, one row of 256 a place."""
+    place = np.arange(PLACES, dtype=np.uint64)
+    return mix(byte_table(folded)[None, :] ^ mix((place + np.uint64(1)) * _BASE)[:, None]).ravel()
 
 
 def hash_runs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """64-bit hash of each run of bytes, the same wherever the run stands."""
+    """64-bit hash of each run of bytes, the same wherever the run stands.
+
+    Every (byte, place in the run) has a value of its own, mixed from both, and a
+    run's hash is their sum: it has no algebra in the places, so words made of
+    swapped or mirrored parts don't meet as they do in a polynomial.
+    """
     out, i, n = np.empty(len(starts), np.uint64), 0, len(starts)
+    table = _place_table(bool(values[65] == values[97]))
     while i < n:
         base = int(starts[i])
         j = max(i + 1, int(np.searchsorted(starts, base + BLOCK)))
-        while j > i + 1 and ends[j - 1] - base > BLOCK + 4000:
-            j -= 1
-        size = int(ends[j - 1]) - base
-        up, down = _power_tables(size + 1)
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(values[buf[base:base + size]] * up[:size], out=sums[1:])
-        s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _M2)
+        size = ends[i:j] - starts[i:j]
+        place = ragged(np.zeros(j - i, np.int64), size)
+        byte = buf[ragged(starts[i:j], size)]
+        if size.max(initial=0) <= PLACES:
+            each = table[(place << 8) | byte]
+        else:
+            near = place < PLACES
+            each = np.empty(len(place), np.uint64)
+            each[near] = table[(place[near] << 8) | byte[near]]
+            far = ~near
+            each[far] = mix(values[byte[far]] ^ mix((place[far].astype(np.uint64) + np.uint64(1)) * _BASE))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(each, dtype=np.uint64)])
+        cut = np.concatenate([[0], np.cumsum(size)])
+        out[i:j] = mix(sums[cut[1:]] - sums[cut[:-1]] + size.astype(np.uint64) * _M2)
         i = j
     return out
 

@@ -2,7 +2,7 @@
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm import mixing, neighbours, packing, toxicity
+from tessera.llm import jaccard, mixing, neighbours, packing, textarrays, toxicity
 
 
 def test_toxicity_evidence_at_any_size(spark, monkeypatch):
@@ -97,3 +97,30 @@ def test_isolated_queries_get_k_rows(spark):
     more = df.union(spark.createDataFrame([(4000, x[4000].tolist())] * 15, df.schema))
     some = neighbours.search(more, lambda c: c == 4000, k=20, leaf_rows=30).toPandas()
     assert set(some["query_id"]) == {4000} and len(some) == 20 and 4000 not in set(some["vec_id"])
+
+
+def colliding_words():
+    """Words that one polynomial modulo 2^64 takes for equal, halves swapped, and words over 64 KB."""
+    word = b"a"
+    while len(word) < 1 << 17:
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    flip = word.translate(bytes.maketrans(b"ab", b"ba"))
+    swapped = [b"x" * i + b"q" + b"x" * 511 + b"z" + b"x" * (512 - i) for i in (0, 1)]
+    return [w.decode() for n in (1024, 2048, 4096, 1 << 17) for w in (word[:n], flip[:n])] + [w.decode() for w in swapped]
+
+
+def test_colliding_words_stay_apart(spark, monkeypatch):
+    words = colliding_words()
+    docs = spark.createDataFrame([(i, f"a {w} b", "en", "s") for i, w in enumerate(words)], "doc_id long, text string, lang string, source string")
+    got = {r.id: r.component_id for r in jaccard.jaccard_join(docs, k=3, percent=90).collect()}
+    assert got == {i: i for i in range(len(words))}
+    tok = packing.tokenizer(packing_vocabulary())
+    for weak in (False, True):      # with a hash of the length alone, too
+        if weak:
+            monkeypatch.setattr(packing, "hash_runs", lambda buf, s, e, v: (e - s).astype(np.uint64))
+        cache = packing.WordIds(packing_vocabulary())
+        for texts in (words[:3], words, [w + " " + w[::-1] for w in words[:4]], ["the cat", "a dog ate", "eta god"]):
+            buf, off = textarrays.texts(pa.array(texts))
+            ids, n = cache.encode(buf, off)
+            want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+            assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
