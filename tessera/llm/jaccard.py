@@ -38,10 +38,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm.idfilter import id_filter, passes
-from tessera.llm.shared import forget, written
+from tessera.llm.shared import forget, forget_since, live, written
 from tessera.llm.textarrays import (NOT_SPACE, byte_table, chunks, hash_runs, mix, ragged, runs,
                                     shingle_hashes)
 
@@ -428,6 +427,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``component_id`` is the smallest id reachable by links, itself included.
     See the module's description for the method and for nulls and ties.
     """
+    before = set(live)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     wide = written(features(texts, k, percent), "shingles")
     classes = written(wide.filter("n > 0").groupBy("print").agg(F.min("id").alias("node")), "classes")
@@ -435,9 +435,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = written(nodes.filter("id = node").select("id", "n", "bits").dropDuplicates(["id", "n", "bits"]), "sets")
     rows = written(wide.select("id", "n", "print"), "rows")
 
-    together = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    shared = (wide.select("id", "n", F.explode("prefix").alias("key")).withColumn("c", together).filter("c > 1")
-              .select("key", "id", "n").join(sets.select("id"), "id", "left_semi").distinct())
+    keys = wide.select("id", "n", F.explode("prefix").alias("key"))
+    several = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "several")
+    shared = keys.join(several, "key").select("key", "id", "n").join(sets.select("id"), "id", "left_semi").distinct()
     members = written(banded(shared, percent), "members")
     forget(wide)
     sizes = members.groupBy("key", "band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
@@ -488,5 +488,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     named = written(classes.join(labels.withColumnRenamed("id", "node"), "node", "left")
                     .select("print", F.coalesce("label", "node").alias("component")), "named")
+    forget_since(docs.sparkSession, before, rows, named)
     return rows.join(named, "print", "left").select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

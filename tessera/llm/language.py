@@ -106,12 +106,15 @@ def train(bags, label: np.ndarray, names: list[str], rounds: int = 6,
           rate: float = 20.0, seed: int = 3):
     """(embedding @ softmax, bias) from bags of (cells, shares), by stochastic gradient descent."""
     rng = np.random.default_rng(seed)
+    # a rare language's rows are shown several times a round
+    many = np.bincount(label, minlength=len(names))
+    shown = np.repeat(np.arange(len(label)), np.maximum(1, np.ceil(0.02 * len(label) / np.maximum(many, 1)).astype(int))[label])
     embed = rng.normal(0, 0.1, (CELLS, WIDTH)).astype(np.float32)
     weight = rng.normal(0, 0.1, (WIDTH, len(names))).astype(np.float32)
     bias = np.zeros(len(names), np.float32)
-    steps, done = rounds * len(label), 0
+    steps, done = rounds * len(shown), 0
     for _ in range(rounds):
-        for i in rng.permutation(len(label)):
+        for i in shown[rng.permutation(len(shown))]:
             cell, part = bags[i]
             lr = rate * (1 - done / steps)
             done += 1
@@ -127,17 +130,21 @@ def train(bags, label: np.ndarray, names: list[str], rounds: int = 6,
     return embed @ weight, bias
 
 
-def fit(docs: DataFrame, learn, sample_rows: int = 4000, calibration: float = 0.25, precision: float = 0.995,
+def fit(docs: DataFrame, learn, sample_rows: int = 4000, floor: int = 40, calibration: float = 0.25, precision: float = 0.995,
         id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Model from at most about ``sample_rows`` of the rows with a language for which ``learn(id)`` holds, chosen by id.
+    """Model from at most about ``sample_rows`` of the rows with a language for which ``learn(id)`` holds, chosen by id,
+    but about ``floor`` of each language (all, if it has fewer), so every language of the table is learned.
 
     A fraction ``calibration`` of the sample sets the temperature and the least
     score at which the share of right answers reaches ``precision``.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
                        F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & learn(F.col("id")))
-    n = rows.select("id").count()
-    sample = rows.filter(draw("language") <= min(1.0, sample_rows / max(n, 1)))
+    per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()     # one row a language
+    share = sample_rows / max(sum(r["n"] for r in per), 1)
+    chances = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, max(share, 2 * floor / r["n"] if r["n"] * share < floor else 0.0)))
+                                                 for r in per], "lang string, chance double")
+    sample = rows.join(chances, "lang").filter(draw("language") <= F.col("chance"))
 
     def task(batches):
         for batch in batches:
@@ -161,7 +168,9 @@ def fit(docs: DataFrame, learn, sample_rows: int = 4000, calibration: float = 0.
     cells, counts = (part.column(c).combine_chunks() for c in ("cells", "counts"))
     at, cell, times = cells.offsets.to_numpy(), cells.values.to_numpy(), counts.values.to_numpy()
     bags = Bags(at, cell, times)
-    apart = np.array(part.column("apart").to_pylist(), bool)
+    many = np.bincount(label)
+    # a language of few rows needs them all to be learned from
+    apart = np.array(part.column("apart").to_pylist(), bool) & (many[label] >= 40)
     if apart.all() or not apart.any():
         apart = np.arange(len(label)) % 4 == 3
     fitted = np.flatnonzero(~apart) if (~apart).any() else np.arange(len(label))

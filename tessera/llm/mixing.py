@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.idfilter import without_ids
-from tessera.llm.shared import forget, written
+from tessera.llm.shared import forget, forget_since, live, written
 from tessera.llm.textarrays import NOT_SPACE, byte_table, chunks, hash_runs, mix, runs
 
 TOPICS = 16
@@ -73,7 +73,7 @@ def step(p, full, of, have, stuck, goal):
     # a name that asks for less than its full cells hold lowers them too
     lower = np.where(goal < stuck, goal / np.maximum(have, 1e-12), 1.0)
     p = np.where(full, p * lower[of], np.where(goal[of] < stuck[of], p * lower[of], p * scale[of]))
-    return np.clip(p, 1e-6, 1.0)
+    return np.clip(p, 0.0, 1.0)
 
 
 def rake(tokens: np.ndarray, names: list[np.ndarray], targets: list[np.ndarray], keep: float, rounds: int = 500) -> np.ndarray:
@@ -245,5 +245,7 @@ def mix_sources(docs: DataFrame, keep: float = 0.8, temper: float = 0.7, targets
 def sample(docs: DataFrame, keep: float = 0.8, temper: float = 0.7, targets: dict | None = None, seed: int = 17,
            id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """The documents kept, with all their columns."""
+    before = set(live)
     fate = written(mix_sources(docs, keep, temper, targets, seed, id_col, text_col, source_col, lang_col), "fate")
+    forget_since(docs.sparkSession, before, fate)
     return without_ids(docs, fate.filter(~F.col("kept")).select("id"), id_col)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.labelled import draw, labelled_texts, learning_labels, platt, sigmoid
-from tessera.llm.shared import written
+from tessera.llm.shared import forget, written
 from tessera.llm.textarrays import NOT_SPACE, byte_table, chunks, hash_runs, mix, runs
 
 BITS = 18
@@ -83,12 +83,17 @@ def cell_counts(rows: DataFrame) -> DataFrame:
     return part.groupBy("cell").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
 
 
-def log_ratios(rows: DataFrame, smoothing: float = 1.0) -> np.ndarray:
-    """Class log-count ratio of every cell."""
+def cell_totals(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of each class with each cell, over all rows."""
     found = cell_counts(rows).toPandas()
-    good, bad = np.full(CELLS, smoothing), np.full(CELLS, smoothing)
-    good[found["cell"]] += found["good"]
-    bad[found["cell"]] += found["bad"]
+    good, bad = np.zeros(CELLS), np.zeros(CELLS)
+    good[found["cell"]], bad[found["cell"]] = found["good"], found["bad"]
+    return good, bad
+
+
+def log_ratios(good: np.ndarray, bad: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
+    """Class log-count ratio of every cell."""
+    good, bad = good + smoothing, bad + smoothing
     return (np.log(good / good.sum()) - np.log(bad / bad.sum())).astype(np.float32)
 
 
@@ -139,16 +144,18 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, label_col: str = "quality"
         id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Model from the labelled documents that ``held_out`` doesn't hold back.
 
-    Log-count ratios take all those rows but a fraction ``calibration``; the
-    hinge-loss fit takes at most about ``sample_rows`` of them and the
-    calibration at most about ``calibration_rows`` of the rest, chosen by id.
+    A fraction ``calibration`` of those rows is left out at first: the hinge-loss
+    fit takes at most about ``sample_rows`` of the others, the calibration at most
+    about ``calibration_rows`` of those left out, chosen by id. Then their counts
+    are added, so the log-count ratios of the final model cover every labelled row.
     """
     known = learning_labels(labels, label_col, held_out, id_col)
     rows = written(labelled_texts(docs, known, id_col, text_col), "labelled")
     apart = draw("calibration") < calibration
     fitted, rest = rows.filter(~apart), rows.filter(apart)
     n, m = fitted.count(), rest.count()
-    ratio = log_ratios(fitted)
+    good, bad = cell_totals(fitted)
+    ratio = log_ratios(good, bad)
 
     def task(batches):
         for batch in batches:
@@ -183,6 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, label_col: str = "quality"
     seen = rest.filter(draw("sample") <= min(1.0, calibration_rows / max(m, 1))).select("text", "label") \
         .mapInArrow(margins, "margin double, label int").toPandas()
     model.slope, model.offset = platt(seen["margin"].to_numpy(float), seen["label"].to_numpy())
+    more_good, more_bad = cell_totals(rest)
+    model.ratio = log_ratios(good + more_good, bad + more_bad)
+    forget(rows)
     return model
 
 

@@ -20,23 +20,38 @@ def shared_dir(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark).rstrip("/")
 
 
+#: Paths of the tables that :func:`written` made and that aren't deleted yet.
+live: set[str] = set()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    live.add(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.written_path = path
     return back
 
 
 def forget(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`written` that a later one replaces."""
+    """Delete tables made by :func:`written` whose last reader has been written."""
     for t in tables:
-        path = getattr(t, "written_path", None)
-        if path:
-            jvm = t.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        if path := getattr(t, "written_path", None):
+            delete(t.sparkSession, {path})
+
+
+def delete(spark: SparkSession, paths: set[str]) -> None:
+    """Delete written tables by path."""
+    for path in paths & live:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        live.discard(path)
+
+
+def forget_since(spark: SparkSession, before: set[str], *kept: DataFrame) -> None:
+    """Delete the tables written since ``live`` was ``before``, but for those still read."""
+    delete(spark, live - before - {t.written_path for t in kept})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.labelled import draw, labelled_texts, learning_labels, platt, sigmoid
-from tessera.llm.shared import written
+from tessera.llm.shared import forget, written
 from tessera.llm.textarrays import LETTERS, chunks
 
 ORDER = 4          # bytes of an expression
@@ -171,6 +171,13 @@ def shared_backoff(grams: DataFrame) -> DataFrame:
 def fit_counts(rows: DataFrame, discount: float = 0.75) -> Model:
     """The models from all rows (id, text, label)."""
     grams = written(counts(rows), "expressions")
+    model = from_counts(grams, discount)
+    forget(grams)
+    return model
+
+
+def from_counts(grams: DataFrame, discount: float) -> Model:
+    """The models from a written table of counts (gram, toxic, ordinary)."""
     total = grams.agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o")).first()
     nt, no = float(total["t"] or 0), float(total["o"] or 0)
     if not nt or not no:
@@ -186,7 +193,9 @@ def fit_counts(rows: DataFrame, discount: float = 0.75) -> Model:
     kept = seen.filter((F.col("p_toxic") > 0) | (F.col("p_ordinary") > 0)) \
         .withColumn("tail", F.col("gram").bitwiseAND(F.lit((1 << 8 * (ORDER - 1)) - 1))).join(shared_backoff(grams), "tail")
     kept = written(kept.select("gram", "p_toxic", "p_ordinary", "back_toxic", "back_ordinary", "p"), "evidence")
-    return Model([rows.sparkSession.sparkContext.broadcast(part(kept, lo, hi)) for lo, hi in ranges(kept)])
+    model = Model([grams.sparkSession.sparkContext.broadcast(part(kept, lo, hi)) for lo, hi in ranges(kept)])
+    forget(kept)
+    return model
 
 
 def ranges(kept: DataFrame) -> list[tuple[int, int]]:
@@ -216,13 +225,15 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, label_col: str = "toxic",
         text_col: str = "text") -> Model:
     """Model and calibration from the labelled documents that ``held_out`` doesn't hold back.
 
-    Counts take the labelled rows but a fraction ``calibration``; the calibration
-    takes at most about ``calibration_rows`` of those, chosen by their ids.
+    A fraction ``calibration`` of the labelled rows is left out of the counts at first; at most about
+    ``calibration_rows`` of those, chosen by their ids, calibrate the scores. Then their counts are added,
+    so the final tables count every labelled row.
     """
     known = learning_labels(labels, label_col, held_out, id_col)
     rows = written(labelled_texts(docs, known, id_col, text_col), "labelled")
     apart = draw("calibration") < calibration
-    model = fit_counts(rows.filter(~apart), discount)
+    first = written(counts(rows.filter(~apart)), "expressions")
+    model = from_counts(first, discount)
     n = rows.filter(apart).count()
     sample = rows.filter(apart & (draw("sample") <= min(1.0, calibration_rows / max(n, 1))))
 
@@ -230,7 +241,14 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, label_col: str = "toxic",
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(model.ratios(batch.column(0))), batch.column(1)], names=["ratio", "label"])
     seen = sample.select("text", "label").mapInArrow(task, "ratio double, label int").toPandas()
-    model.slope, model.offset = platt(seen["ratio"].to_numpy(float), seen["label"].to_numpy())
+    slope, offset = platt(seen["ratio"].to_numpy(float), seen["label"].to_numpy())
+    for sent in model.slices:
+        sent.unpersist()
+    every = first.unionByName(counts(rows.filter(apart))).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    every = written(every, "expressions")
+    model = from_counts(every, discount)
+    model.slope, model.offset = slope, offset
+    forget(first, every, rows)
     return model
 
 

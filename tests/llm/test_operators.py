@@ -284,6 +284,9 @@ def test_mixing_samples_by_probability(spark, odd):
     dropped = {r.id for r in fate if not r.kept and r.id is not None}
     assert Counter(r.doc_id for r in stay.collect()) == Counter(i for i, *_ in rows if i not in dropped)
     assert mixing.sample(empty(spark)).count() == 0
+    # a source with target 0 is never sampled
+    none = mixing.mix_sources(docs, targets={"source": {"a": 1.0, "b": 0.0}}).collect()
+    assert not any(r.kept or r.probability for r in none if r.source == "b" and r.tokens)
 
 
 def labelled(spark):
@@ -319,6 +322,19 @@ def test_toxicity_and_quality(spark):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i in tox if tox[i] < 0.7}
 
 
+def test_rare_language_is_learned(spark):
+    rng = random.Random(1)
+    words = {"en": ["the", "and", "with", "shore", "that"], "pl": ["szczęście", "źdźbło", "przez", "który", "więc"]}
+    text = lambda la: " ".join(rng.choice(words[la]) for _ in range(12))     # noqa: E731
+    rows = [(i, text("en"), "en", "a") for i in range(12000)] + [(20000 + i, text("pl"), "pl", "a") for i in range(6)]
+    rows += [(30000 + i, text("pl"), None, "a") for i in range(20)]
+    docs = frame(spark, rows)
+    model = language.fit(docs, lambda c: F.lit(True))
+    assert model.names == ["en", "pl"]
+    got = {r.id: r.lang for r in language.identify(docs.filter("doc_id < 100 or doc_id >= 20000"), model).collect()}
+    assert all(got[30000 + i] == "pl" for i in range(20)) and sum(got[i] == "en" for i in range(100)) > 95
+
+
 def test_language(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice([["the", "and", "with", "shore"], ["être", "dans", "quelle", "avec"]][i % 2]) for _ in range(20)),
