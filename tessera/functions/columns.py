@@ -1,4 +1,4 @@
-"""Column helpers (built-in expressions only, so they stay inside whole-stage codegen)."""
+"""Column helpers, built-in expressions only: no Python runs (array lambdas are interpreted by the JVM, the rest is in whole-stage codegen)."""
 
 from __future__ import annotations
 
@@ -71,3 +71,8 @@ def key_hash_bucket(cols: list[str], buckets: int, salt: str = "") -> Column:
         parts.append(F.coalesce(F.col(c).cast("string"), F.lit("\\N")))
     digest = F.md5(F.concat(*parts))
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % buckets).cast("bigint")
+
+
+def lit_array(values) -> Column:
+    """A double-array literal parsed once on the JVM (one call, not one per value)."""
+    return F.expr("array(" + ", ".join(f"{float(x):.17E}D" for x in values) + ")")

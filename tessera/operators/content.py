@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import euclidean, lit_array
 from tessera.functions.text import count_tokens, explode_terms, key_words
 
 
@@ -128,3 +129,41 @@ def item_cosine_to(ratings: DataFrame, query, n: int = 10, user: str = "user_id"
               .withColumn("score", F.coalesce("dot", F.lit(0.0)) / (F.lit(q_norm) * F.col("norm"))))
     top = scored.orderBy(F.desc("score"), F.asc(item)).limit(n)
     return top.select(item, "score", F.row_number().over(Window.orderBy(F.desc("score"), F.asc(item))).alias("rank"))
+
+
+def column_cosines(ratings: DataFrame, queries: DataFrame, n: int = 10, user: str = "user_id", item: str = "item_id",
+                   rating: str = "rating") -> DataFrame:
+    """P1 for a set of items (one column): ``(query, item, score, rank)``, the ``n`` other items whose rating columns have
+    the highest cosine with each query's, ties by item; items without a common user score 0 and fill the last ranks.
+
+    Only ratings of users who rated a query item are joined, once for each query item they rated: work is linear in the
+    ratings for a given set. The query side is written first, so a user with many ratings can be split.
+    """
+    r = F.col(rating).cast("double")
+    asked = ratings.join(queries.select(F.col(queries.columns[0]).alias(item)).distinct(), item, "left_semi")
+    q = asked.select(user, F.col(item).alias("query"), r.alias("__rq"))
+    dots = ratings.select(user, item, r.alias("__r")).join(q, user).filter(F.col("query") != F.col(item)) \
+        .groupBy("query", item).agg(F.sum(F.col("__r") * F.col("__rq")).alias("dot"))
+    nrm = ratings.groupBy(item).agg(F.sqrt(F.sum(r * r)).alias("norm"))
+    qn = nrm.select(F.col(item).alias("query"), F.col("norm").alias("qnorm")).join(q.select("query").distinct(), "query", "left_semi")
+    scored = dots.join(nrm, item).join(qn, "query").select("query", item, (F.col("dot") / (F.col("qnorm") * F.col("norm"))).alias("score"))
+    # of the first n + 1 items in order at least n differ from a query: they fill up with score 0 where nothing else does
+    first = [x[0] for x in nrm.select(item).orderBy(item).limit(2 * n + 1).collect()]
+    if first:
+        fill = qn.select("query", F.explode(F.array(*[F.lit(x) for x in first])).alias(item)).filter(F.col("query") != F.col(item))
+        scored = scored.unionByName(fill.join(scored.select("query", item), ["query", item], "left_anti").withColumn("score", F.lit(0.0)))
+    w = Window.partitionBy("query").orderBy(F.desc("score"), F.asc(item))
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("query", item, "score", "rank")
+
+
+def nearest_euclidean(vectors: DataFrame, key: str, query, n: int = 10, vec: str = "vec") -> DataFrame:
+    """``(key, dist, rank)``: the ``n`` other rows at the least Euclidean distance of row ``query``, ties by key.
+
+    The query vector is fetched once and inlined as a literal; the top-n is a
+    TakeOrderedAndProject. Null vectors take no part; a null component leaves a row out.
+    """
+    q = vectors.filter((F.col(key) == F.lit(query)) & F.col(vec).isNotNull()).select(vec).limit(1).collect()
+    at = lit_array(q[0][0]) if q else F.lit(None).cast("array<double>")
+    near = vectors.filter(F.col(key) != F.lit(query)).select(key, euclidean(vec, at).alias("dist")).filter(F.col("dist").isNotNull())
+    top = near.orderBy(F.asc("dist"), F.asc(key)).limit(n)
+    return top.select(key, "dist", F.row_number().over(Window.orderBy(F.asc("dist"), F.asc(key))).alias("rank"))

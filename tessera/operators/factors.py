@@ -12,13 +12,14 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import clip, cosine
+from tessera.functions.columns import clip, cosine, lit_array
+from tessera.operators.implicit import centred_matrix, dense_index, row_svd
 from tessera.operators.skew import hot_keys, salted_join
 from tessera.session import ensure_checkpoint_dir
 
@@ -160,45 +161,80 @@ def cv_copies(ratings: DataFrame, fold: str, k: int, name: str = "cv_fold") -> t
 class Factors:
     baseline: Baseline
     als: ALSModel
+    users: DataFrame    # (user, at): positions of the known users
+    items: DataFrame
     user: str
     item: str
+    by: list[str]       # [] or [fold]: models stacked in one fit
+    n_users: int
+    n_items: int
 
     def transform(self, pairs: DataFrame, low: float = 1.0, high: float = 5.0) -> DataFrame:
         """Baseline + factor term (unknown ids -> baseline only), clipped;
         ``prediction_int`` is rounded half-even."""
-        base = self.baseline.transform(pairs, low, high)
-        fac = self.als.transform(base.withColumn("__u", F.col(self.user).cast("int"))
-                                 .withColumn("__i", F.col(self.item).cast("int")))
+        base = positions(self.baseline.transform(pairs, low, high), self.users, self.items, self.user, self.item, self.by, self.n_users, self.n_items)
+        # an id without a position gets one that no factor has
+        fac = self.als.transform(base.fillna(-1, ["__u", "__i"]))
         f = F.when(F.isnan("__f"), F.lit(0.0)).otherwise(F.col("__f"))
         return (fac.withColumn("prediction", clip(F.col("baseline") + f, low, high))
                 .withColumn("prediction_int", F.bround("prediction", 0).cast("int"))
                 .drop("__u", "__i", "__f", "baseline"))
 
     def item_factors(self) -> DataFrame:
-        """``(item_id, vec ARRAY<DOUBLE>)``."""
-        return self.als.itemFactors.select(F.col("id").cast("long").alias(self.item),
-                                           F.transform("features", lambda x: x.cast("double")).alias("vec"))
+        """``(item_id, vec ARRAY<DOUBLE>)`` of a single model."""
+        factors = self.als.itemFactors.select(F.col("id").cast("long").alias("at"), F.transform("features", lambda x: x.cast("double")).alias("vec"))
+        return factors.join(self.items, "at").select(self.item, "vec")
+
+
+def positions(rows: DataFrame, users: DataFrame, items: DataFrame, user: str, item: str, by: list[str], n_users: int, n_items: int) -> DataFrame:
+    """``rows`` with the dense 32-bit positions ``__u`` and ``__i`` of their ids; stacked models take one range of positions each."""
+    shift = F.col(by[0]).cast("long") if by else F.lit(0).cast("long")
+    return (rows.join(users.select(F.col(user), F.col("at").alias("__pu")), user, "left").join(items.select(F.col(item), F.col("at").alias("__pi")), item, "left")
+            .withColumn("__u", (F.col("__pu") + shift * n_users).cast("int")).withColumn("__i", (F.col("__pi") + shift * n_items).cast("int"))
+            .drop("__pu", "__pi"))
 
 
 def fit_factors(ratings: DataFrame, rank: int = 50, reg: float = 0.1, iters: int = 10, seed: int = 42,
                 user: str = "user_id", item: str = "item_id", rating: str = "rating",
-                blocks: int | None = None) -> Factors:
+                blocks: int | None = None, by: list[str] | None = None) -> Factors:
     """Latent factors on the baseline residual (biases + dot product), fitted
-    with Spark's block ALS. Ids must fit in 32-bit integers (ANSI casts fail
-    loudly otherwise). The lineage of the iterations is cut by ALS's own
-    checkpoints in the session's ``spark.checkpoint.dir``."""
+    with Spark's block ALS. Ids of any type get dense 32-bit positions first. The
+    lineage of the iterations is cut by ALS's own checkpoints in the session's
+    ``spark.checkpoint.dir``.
+
+    ``by`` (one integer column, e.g. the cross-validation fold) fits one model per
+    group in the same fit: a group's users and items take positions of their own,
+    so the stacked ratings are one block-diagonal matrix, whose factors are
+    exactly the groups' own least-squares solutions.
+    """
     ensure_checkpoint_dir(ratings.sparkSession)
-    base = fit_baseline(ratings, user=user, item=item, rating=rating)
-    resid = (base.transform(ratings.select(user, item, rating))
-             .select(F.col(user).cast("int").alias("__u"), F.col(item).cast("int").alias("__i"),
-                     (F.col(rating) - F.col("baseline")).alias("__r")))
+    by = list(by or [])
+    base = fit_baseline(ratings, by=by, user=user, item=item, rating=rating)
+    users, items = dense_index(ratings, user), dense_index(ratings, item)
+    n_users, n_items = users.count(), items.count()
+    groups = ratings.agg(F.max(by[0])).first()[0] + 1 if by else 1
+    if max(n_users, n_items) * groups >= 1 << 31:
+        raise ValueError("Spark's ALS takes fewer than 2^31 users and items")
+    resid = positions(base.transform(ratings.select(*by, user, item, rating)), users, items, user, item, by, n_users, n_items) \
+        .select("__u", "__i", (F.col(rating) - F.col("baseline")).alias("__r")).filter("__u is not null and __i is not null and __r is not null")
     # at most one user block and one item block per core, and no more than the
     # ratings fill: blocks route to each other, so their pairs grow as a square
     blocks = blocks or min(ratings.sparkSession.sparkContext.defaultParallelism, base.n // BLOCK_RATINGS + 1)
     als = ALS(rank=rank, maxIter=iters, regParam=reg, userCol="__u", itemCol="__i", ratingCol="__r",
               coldStartStrategy="nan", seed=seed, checkpointInterval=5, numUserBlocks=blocks,
               numItemBlocks=blocks).setPredictionCol("__f")
-    return Factors(base, als.fit(resid), user, item)
+    return Factors(base, als.fit(resid), users, items, user, item, by, n_users, n_items)
+
+
+def factors_cv(ratings: DataFrame, fold: str, k: int, rank: int = 50, reg: float = 0.1, iters: int = 10, seed: int = 42,
+               user: str = "user_id", item: str = "item_id", rating: str = "rating") -> DataFrame:
+    """H3 for the latent-factor model: ``(fold, n, rmse, mae)``, all ``k`` models in one fit (see :func:`fit_factors`)
+    and one pass over the hold-out rows."""
+    train, test = cv_copies(ratings, fold, k)
+    model = fit_factors(train, rank, reg, iters, seed, user, item, rating, by=["cv_fold"])
+    e = F.col("prediction") - F.col(rating)
+    return model.transform(test).groupBy(F.col("cv_fold").alias("fold")).agg(
+        F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
 
 
 # ---------------------------------------------------------------------- PCA/SVD
@@ -247,37 +283,6 @@ def top_cosine(vectors: DataFrame, key: str, query, n: int = 10, vec: str = "vec
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc(key))))
 
 
-def vec_col(col: str | Column) -> Column:
-    return vector_to_array(F.col(col) if isinstance(col, str) else col)
-
-
-# -------------------------------------------------- truncated SVD of the ratings
-def _scaled_sum(df: DataFrame, key: str, vec: str, weight: str) -> DataFrame:
-    """``(key, sum_rows(weight * vec))`` with a JVM vector-sum aggregate."""
-    scaled = df.select(key, array_to_vector(F.transform(F.col(vec), lambda x: x * F.col(weight))).alias("__v"))
-    return scaled.groupBy(key).agg(vector_to_array(Summarizer.sum(F.col("__v"))).alias(vec))
-
-
-def _gram(df: DataFrame, vec: str) -> "np.ndarray":
-    """``V^T V`` of the rows' vectors (k x k, collected: bounded by k^2)."""
-    import numpy as np
-    outer = F.flatten(F.transform(F.col(vec), lambda a: F.transform(F.col(vec), lambda b: a * b)))
-    s = df.select(array_to_vector(outer).alias("__o")).agg(Summarizer.sum(F.col("__o")).alias("s")).collect()[0]["s"]
-    k = int(round(len(s) ** 0.5))
-    return np.asarray(s.toArray()).reshape(k, k)
-
-
-def _vec_sum(df: DataFrame, vec: str) -> "np.ndarray":
-    import numpy as np
-    s = df.select(array_to_vector(vec).alias("__v")).agg(Summarizer.sum(F.col("__v")).alias("s")).collect()[0]["s"]
-    return np.asarray(s.toArray())
-
-
-def lit_array(values) -> Column:
-    """A double-array literal parsed once on the JVM (one call, not one per value)."""
-    return F.expr("array(" + ", ".join(f"{float(x):.17E}D" for x in values) + ")")
-
-
 def _times_matrix(vec: str, m) -> Column:
     """Row vector times a small literal matrix ``m`` (k x k'), the matrix being
     one flattened array literal indexed inside the lambda."""
@@ -300,65 +305,18 @@ def item_factors_svd(ratings: DataFrame, k: int = 50, iters: int = 10, oversampl
     matrix (absent = 0, each item centred by its mean over all users), i.e. the
     item factors of a truncated SVD; equals PCA of the user rows.
 
-    Subspace iteration on sparse triples, never forming the matrix or the
-    item covariance: each step computes Y = C Q and Z = C^T Y with two joins
-    and two vector-sum aggregates (the centring enters as rank-one corrections
-    from the item means), then orthonormalises Z with the Cholesky factor of
-    the k x k Gram matrix. Only k-vectors and k x k matrices reach the driver.
-    Q is checkpointed every step (``spark.checkpoint.dir``) so lineage stays
-    short and a lost executor recomputes one step at most; Y and Z are only
-    persisted for the step that reads them twice.
+    Subspace iteration on the implicit matrix of :mod:`tessera.operators.implicit`
+    (items as rows, so the factors are its left singular vectors): neither the
+    matrix nor the item covariance is formed, products move blocks, and only
+    k x k matrices reach the driver. Every product is checkpointed
+    (``spark.checkpoint.dir``); the iteration ends early when the leading values
+    stand still.
     """
-    import numpy as np
-    spark = ratings.sparkSession
-    ensure_checkpoint_dir(spark)
-    p = k + oversample
-    # the triples are read twice per step: written once to the checkpoint folder
-    r = ratings.select(F.col(user).alias("__u"), F.col(item).alias("__i"),
-                       F.col(rating).cast("double").alias("__r")).checkpoint()
-    n_users = r.select("__u").distinct().count()
-    means = r.groupBy("__i").agg((F.sum("__r") / F.lit(float(n_users))).alias("__m")).checkpoint()
-    n_items = means.count()
-    q = means.select("__i", "__m", F.array(*[F.randn(seed + j) for j in range(p)]).alias("q"))
-
-    def c_times(qdf: DataFrame, mq) -> DataFrame:
-        # Y = A Q - 1 (m^T Q), rows for every user with a rating
-        aq = _scaled_sum(r.join(qdf.select("__i", "q"), "__i"), "__u", "q", "__r")
-        return aq.select("__u", F.zip_with("q", lit_array(mq), lambda a, b: a - b)
-                         .alias("y")).persist()
-
-    def ct_times(ydf: DataFrame) -> DataFrame:
-        # Z = A^T Y - m (1^T Y)
-        sy = _vec_sum(ydf, "y")
-        aty = _scaled_sum(r.join(ydf, "__u"), "__i", "y", "__r")
-        z = means.join(aty, "__i", "left").select(
-            "__i", "__m", F.zip_with(F.coalesce("y", lit_array([0.0] * p)), lit_array(sy),
-                                     lambda a, b: a - F.col("__m") * b).alias("q")).persist()
-        ydf.unpersist()
-        return z
-
-    def orthonormal(zdf: DataFrame):
-        # one aggregate gives Z^T Z and m^T Z; then Q = Z R^-1 and m^T Q = (m^T Z) R^-1
-        outer = F.flatten(F.transform(F.col("q"), lambda a: F.transform(F.col("q"), lambda b: a * b)))
-        both = F.concat(outer, F.transform(F.col("q"), lambda x: x * F.col("__m")))
-        tot = _vec_sum(zdf.select(both.alias("v")), "v")
-        g, mz = tot[:p * p].reshape(p, p), tot[p * p:]
-        rinv = np.linalg.inv(np.linalg.cholesky(g + 1e-12 * np.trace(g) * np.eye(p)).T)
-        q_new = zdf.select("__i", "__m", _times_matrix("q", rinv).alias("q")).checkpoint()
-        zdf.unpersist()
-        return q_new, mz @ rinv
-
-    q, mq = orthonormal(q)
-    for _ in range(iters):
-        q, mq = orthonormal(ct_times(c_times(q, mq)))
-    # Rayleigh-Ritz: B = (C Q)^T (C Q), eigen-pairs give the rotation and the spectrum
-    y_last = c_times(q, mq)
-    b = _gram(y_last, "y")
-    y_last.unpersist()
-    lam, w = np.linalg.eigh(b)
-    order = np.argsort(lam)[::-1][:k]
-    lam, w = lam[order], w[:, order]
-    factors = q.select(F.col("__i").alias(item), _times_matrix("q", w).alias("vec"))
-    eig_pop = [float(x) / n_users for x in lam]
-    sv = [float(np.sqrt(max(x, 0.0) / (n_items - 1))) for x in lam]
-    return SVDResult(factors, sv, eig_pop)
+    matrix = centred_matrix(ratings, item, user, rating)
+    factors, values = row_svd(matrix, k, iters, oversample, seed)
+    return SVDResult(factors, [v / max(matrix.n_rows - 1, 1) ** 0.5 for v in values], [v * v / matrix.n_cols for v in values])
+
+
+def first_components(factors: DataFrame, k: int, vec: str = "vec") -> DataFrame:
+    """Factors cut to their first ``k`` components (leading ones come first)."""
+    return factors.withColumn(vec, F.slice(vec, 1, k))
