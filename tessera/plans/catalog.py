@@ -522,7 +522,8 @@ def q_year(spark, d):
 
 
 # ------------------------------------------- phase 6/7: SVD, method comparison
-from tessera.sources.sinks import evaluation_report, timed_action  # noqa: E402
+from tessera.operators import itemcf  # noqa: E402
+from tessera.operators.evaluate import Method, describe_folds, describe_forest, describe_ridge, evaluated  # noqa: E402
 
 
 def svd_of_training(spark, d):
@@ -542,33 +543,35 @@ def q_svd_top(spark, d):
     return fx.top_cosine(svd_of_training(spark, d).factors, "item_id", 1, 10)
 
 
+def rating_methods(spark, d) -> dict[str, Method]:
+    """The rating methods over one split, each with what its report shows."""
+    train, test = rating_split(spark, d)
+    ids = ["user_id", "item_id"]
+    folded = add_fold(train, KEYS, 5, salt="cv")
+
+    def by_lsh():
+        vectors = F.array(F.col("user_id").cast("double"), F.col("item_id").cast("double")).alias("features")
+        j = lsh_similarity_join(train.select(*ids, "rating", vectors), test.select(*ids, vectors), 1.5, "features", 5.0, 8, 42,
+                                a_cols=[*ids, "rating"], b_cols=ids)
+        return j.select(F.col("b_user_id").alias("test_user"), F.col("b_item_id").alias("test_item"), F.col("a_user_id").alias("train_user"),
+                        F.col("a_item_id").alias("train_item"), F.col("a_rating").alias("rating"), "dist").persist()
+    return {
+        "lsh": Method(by_lsh, lambda near: knn_predict(test, near), force=lambda near: [near]),
+        "knn_lattice": Method(lambda: lattice_neighbors(train, test, 1.5).persist(), lambda near: knn_predict(test, near), force=lambda near: [near]),
+        "ridge": Method(lambda: regress.fit_ridge(train, ids), lambda m: m.transform(test), describe=describe_ridge),
+        "forest": Method(lambda: regress.fit_forest(train, ids), lambda m: m.transform(test), describe=describe_forest),
+        "baseline": Method(lambda: fx.fit_baseline(train), lambda m: m.transform(test), force=lambda m: [m.b_item, m.b_user]),
+        "als": Method(lambda: fx.fit_factors(train, rank=50), lambda m: m.transform(test),
+                      describe=lambda m: describe_folds(fx.factors_cv(folded, "fold", 5, rank=50))),
+        "item_cf": Method(lambda: itemcf.hashed_profiles(train).persist(), lambda v: itemcf.item_cf_predict(train, test, v), force=lambda v: [v]),
+    }
+
+
 @register("method_comparison")
 def q_methods(spark, d):
-    """P5 + A11: RMSE, fit time and prediction time of each rating method on
-    the hold-out fold (timings around full executions, not lazy calls)."""
-    train, test = rating_split(spark, d)
-    reports = []
-
-    def report(name, fit, predict):
-        t0 = timed_action(train)
-        t1 = __import__("time").time()
-        model = fit()
-        fit_s = __import__("time").time() - t1
-        pred = predict(model)
-        pred_s = timed_action(pred)
-        m = regression_metrics(pred, "rating", "prediction").collect()[0]
-        reports.append(evaluation_report(spark, {"rmse": m["rmse"], "mae": m["mae"], "fit_seconds": fit_s,
-                                                 "predict_seconds": pred_s, "scan_seconds": t0}, name))
-
-    report("knn_lattice", lambda: lattice_neighbors(train, test, 1.5), lambda nb_: knn_predict(test, nb_))
-    report("ridge", lambda: regress.fit_ridge(train, ["user_id", "item_id"]), lambda m: m.transform(test))
-    report("forest", lambda: regress.fit_forest(train, ["user_id", "item_id"]), lambda m: m.transform(test))
-    report("baseline", lambda: fx.fit_baseline(train), lambda m: m.transform(test))
-    report("als", lambda: fx.fit_factors(train, rank=50), lambda m: m.transform(test))
-    out = reports[0]
-    for r in reports[1:]:
-        out = out.unionByName(r)
-    return out
+    """P5 + A11: for each rating method hold-out metrics, fit and prediction seconds of full executions, coefficients,
+    objective, importances and the cross-validation table."""
+    return evaluated(spark, rating_methods(spark, d))
 
 
 # ----------------------------------------- remaining inventory lines
@@ -612,10 +615,134 @@ def q_item_cosine(spark, d):
 
 @register("als_cv")
 def q_als_cv(spark, d):
-    """H3 for the latent-factor model: 5 key-hash folds, RMSE / MAE / fit and
-    test seconds per fold (the reference's evaluation of its factor model)."""
-    from tessera.operators.splits import cross_validate
-    from pyspark import StorageLevel
-    ratings = ratings_from_orders(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
-    return cross_validate(ratings, lambda tr, te: fx.fit_factors(tr, rank=50).transform(te),
-                          KEYS, k=5, label="rating", prediction="prediction", salt="cv")
+    """H3 for the latent-factor model: 5 key-hash folds in one fit, RMSE and MAE per fold."""
+    folded = add_fold(ratings_from_orders(spark, d).persist(), KEYS, 5, salt="cv")
+    return fx.factors_cv(folded, "fold", 5, rank=50)
+
+
+# ------------------------- similar profiles, query sets, the centred matrix
+from tessera.operators import blocked, implicit, sgd, similarity, vector_lsh  # noqa: E402
+
+
+@register("item_cf_predictions")
+def q_item_cf(spark, d):
+    """Hold-out pairs from the user's ratings of the 20 most similar items."""
+    train, test = rating_split(spark, d)
+    out = itemcf.item_cf_predict(train, test, itemcf.hashed_profiles(train), 20)
+    return out.select("user_id", "item_id", "rating", F.bround("prediction", 6).alias("prediction"), "n_neighbors")
+
+
+@register("minhash_part_pairs")
+def q_minhash(spark, d):
+    """Parts whose bags of words have a Jaccard index of 0.7 or more, between representatives of equal bags."""
+    terms = content.count_vectors(part_bags(spark, d), "p_partkey").select("p_partkey", "term")
+    pairs, _ = similarity.minhash_pairs(terms, "p_partkey", "term", 0.7, recall=0.99999)
+    return pairs.select("a", "b", F.bround("jaccard", 9).alias("jaccard"))
+
+
+@register("minhash_part_classes")
+def q_minhash_classes(spark, d):
+    """The representative of every part's bag."""
+    terms = content.count_vectors(part_bags(spark, d), "p_partkey").select("p_partkey", "term")
+    return similarity.minhash_pairs(terms, "p_partkey", "term", 0.7)[1].select(F.col("key").alias("p_partkey"), "rep")
+
+
+@register("column_similarities")
+def q_columns(spark, d):
+    """Item pairs whose estimated rating cosine is 0.1 or more, from sampled products."""
+    est = similarity.column_similarities(ratings_from_orders(spark, d), 0.1)
+    return est.filter("cosine >= 0.1").select("a", "b", F.bround("cosine", 6).alias("cosine"))
+
+
+@register("lsh_vector_pairs")
+def q_vector_pairs(spark, d):
+    """C1/J1 on real vectors: parts whose (price, size) lie within 1.05 of each other."""
+    part = load(spark, d, "part").select("p_partkey", F.array(F.col("p_retailprice").cast("double"), F.col("p_size").cast("double")).alias("vec"))
+    pairs, _ = vector_lsh.vector_pairs(part, "p_partkey", 1.05, 8.0)
+    return pairs.select("a", "b", F.bround("dist", 6).alias("dist"))
+
+
+@register("top_cosine_query_set")
+def q_top_cosine_set(spark, d):
+    """F5/C5 for a set: the ten vectors nearest to each of fifty."""
+    ev = embedding_vectors(spark, d)
+    return blocked.top_cosine_queries(ev, "item_id", spark.range(50), 10).select("query", "item_id", F.bround("score", 6).alias("score"), "rank")
+
+
+@register("euclidean_to_query")
+def q_euclidean(spark, d):
+    """The ten vectors at the least Euclidean distance of vector 0."""
+    return content.nearest_euclidean(embedding_vectors(spark, d), "item_id", 0, 10).select("item_id", F.bround("dist", 6).alias("dist"), "rank")
+
+
+@register("item_item_cosine_set")
+def q_item_cosine_set(spark, d):
+    """P1 for a set of items: the ten items with the most similar rating columns."""
+    items = spark.range(1, 21).toDF("item_id")
+    return content.column_cosines(ratings_from_orders(spark, d), items, 10).select("query", "item_id", F.bround("score", 6).alias("score"), "rank")
+
+
+@register("user_user_cosine_set")
+def q_user_cosine_set(spark, d):
+    """P1, the users' side: the ten users with the most similar rating rows."""
+    users = spark.range(1, 21).toDF("user_id")
+    return content.column_cosines(ratings_from_orders(spark, d), users, 10, user="item_id", item="user_id").select(
+        "query", "user_id", F.bround("score", 6).alias("score"), "rank")
+
+
+@register("centred_entries")
+def q_centred(spark, d):
+    """Hold-out cells of the item-centred training matrix, minus the item's mean where there is no rating."""
+    train, test = rating_split(spark, d)
+    m = implicit.centred_matrix(train)
+    return m.entry(test.select("item_id", "user_id"), "item_id", "user_id").select("item_id", "user_id", F.bround("value", 9).alias("value"))
+
+
+@register("scaled_inner_products")
+def q_inner(spark, d):
+    """D6 pair form, I6: covariances of neighbouring items' rating columns, from the centred matrix scaled by one over the
+    root of the number of users."""
+    m = implicit.centred_matrix(ratings_from_orders(spark, d))
+    pairs = m.row_index.select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b"))
+    return m.scaled(m.n_cols ** -0.5).inner_products(pairs, "a", "b").filter("product is not null").select("a", "b", F.bround("product", 9).alias("cov"))
+
+
+@register("rating_covariance_factors")
+def q_covariance_pca(spark, d):
+    """50 principal components of the items' covariance rows."""
+    train, _ = rating_split(spark, d)
+    return implicit.covariance_pca(implicit.centred_matrix(train), 50)[0]
+
+
+@register("rating_covariance_top_cosine")
+def q_covariance_top(spark, d):
+    """J13 + F5: the ten items nearest to item 1 by those components."""
+    return fx.top_cosine(q_covariance_pca(spark, d), "item_id", 1, 10, vec="factors")
+
+
+@register("sgd_predictions")
+def q_sgd(spark, d):
+    """J8 by gradient descent, as the surveyed factoriser trains: 50 factors, 20 epochs."""
+    train, test = rating_split(spark, d)
+    return sgd.fit_sgd(train, rank=50).transform(test).select("user_id", "item_id", "rating", "prediction", "prediction_int")
+
+
+def item_split(spark, d):
+    """Ratings of all items but those of one hash fold of ten, and every fiftieth pair of any item: pairs of unknown items occur."""
+    ratings = ratings_from_orders(spark, d)
+    return ratings.filter(key_hash_bucket(["item_id"], 10, "new") != 0), \
+        ratings.filter(key_hash_bucket(KEYS, 50, "ask") == 0).select("user_id", "item_id")
+
+
+@register("missing_keys_by_item")
+def q_missing_by_item(spark, d):
+    """G1 where items are missing."""
+    train, pairs = item_split(spark, d)
+    return clean.missing_keys(pairs, train, "item_id")
+
+
+@register("repair_items_by_item")
+def q_repair_by_item(spark, d):
+    """B4 + B5 where unknown items occur and are replaced."""
+    train, pairs = item_split(spark, d)
+    return clean.repair_unknown(pairs.withColumn("old_item", F.col("item_id")), train).select("user_id", "old_item", "item_id")

@@ -398,3 +398,76 @@ ORACLE.update({
                          "rr AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, item_id) AS INT) AS rank FROM s) "
                          "SELECT item_id, round_even(score, 6) AS score, rank FROM rr WHERE rank <= 10"),
 })
+
+
+# ------------------------- similar profiles, query sets, the centred matrix
+PROFILES = (f"cells AS (SELECT item_id, {fold(['user_id'], 64, 'cell')} AS cell, "
+            f"SUM(CAST(rating AS BIGINT) * ({fold(['user_id'], 2, 'sign')} * 2 - 1)) AS x FROM train GROUP BY 1, 2), "
+            "dots AS (SELECT a.item_id AS i, b.item_id AS j, CAST(SUM(a.x * b.x) AS DOUBLE) AS dot FROM cells a JOIN cells b "
+            "ON a.cell = b.cell GROUP BY 1, 2), "
+            "sizes AS (SELECT item_id, CAST(SUM(x * x) AS DOUBLE) AS s FROM cells GROUP BY 1)")
+
+COSINE_SET = ("q AS (SELECT {user} AS u, {item} AS query, CAST(rating AS DOUBLE) AS rq FROM ratings WHERE {item} BETWEEN 1 AND 20), "
+              "nrm AS (SELECT {item} AS k, sqrt(SUM(CAST(rating AS DOUBLE) * rating)) AS norm FROM ratings GROUP BY 1), "
+              "d AS (SELECT query, {item} AS k, SUM(rating * rq) AS dot FROM ratings JOIN q ON {user} = u GROUP BY 1, 2), "
+              "s AS (SELECT n.k AS query, m.k, COALESCE(dot, 0) / (n.norm * m.norm) AS score FROM nrm n CROSS JOIN nrm m "
+              "LEFT JOIN d ON d.query = n.k AND d.k = m.k WHERE n.k BETWEEN 1 AND 20 AND n.k <> m.k), "
+              "r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, k) AS INT) AS rank FROM s) "
+              "SELECT query, k AS {item}, round_even(score, 6) AS score, rank FROM r WHERE rank <= 10")
+
+CENTRED = ("nu AS (SELECT CAST(COUNT(DISTINCT user_id) AS DOUBLE) AS n FROM {of}), "
+           "means AS (SELECT item_id, SUM(rating) / (SELECT n FROM nu) AS m FROM {of} GROUP BY 1)")
+
+ITEM_SPLIT = (f"ratings AS ({RATINGS}), "
+              f"train AS (SELECT * FROM ratings WHERE {fold(['item_id'], 10, 'new')} <> 0), "
+              f"pairs AS (SELECT user_id, item_id FROM ratings WHERE {fold(['user_id', 'item_id'], 50, 'ask')} = 0)")
+
+BAGS = f"WITH {CV_PARTS}, sets AS (SELECT p_partkey AS k, list_sort(list(DISTINCT term)) AS s FROM cv GROUP BY 1)"
+
+ORACLE.update({
+    "item_cf_predictions": (f"WITH {SPLIT}, {PROFILES}, "
+                            "near AS (SELECT p.user_id, p.item_id, t.item_id AS j, t.rating AS r, dot / sqrt(a.s * b.s) AS sim FROM test p "
+                            "JOIN train t ON t.user_id = p.user_id AND t.item_id <> p.item_id JOIN dots ON i = p.item_id AND j = t.item_id "
+                            "JOIN sizes a ON a.item_id = p.item_id JOIN sizes b ON b.item_id = t.item_id WHERE dot > 0), "
+                            "best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY sim DESC, j) <= 20), "
+                            "est AS (SELECT user_id, item_id, SUM(sim * r) / SUM(sim) AS e, COUNT(*) AS n FROM best GROUP BY 1, 2) "
+                            "SELECT test.user_id, test.item_id, rating, round_even(least(5.0, greatest(1.0, COALESCE(e, "
+                            "(SELECT AVG(rating) FROM train)))), 6) AS prediction, CAST(COALESCE(n, 0) AS INT) AS n_neighbors "
+                            "FROM test LEFT JOIN est ON est.user_id = test.user_id AND est.item_id = test.item_id"),
+    "minhash_part_pairs": (f"{BAGS}, reps AS (SELECT s, MIN(k) AS k FROM sets GROUP BY s), "
+                           "j AS (SELECT a.k AS a, b.k AS b, CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) AS c, len(a.s) + len(b.s) AS n "
+                           "FROM reps a JOIN reps b ON a.k < b.k) SELECT a, b, round_even(c / (n - c), 9) AS jaccard FROM j WHERE c / (n - c) >= 0.7"),
+    "minhash_part_classes": f"{BAGS} SELECT k AS p_partkey, MIN(k) OVER (PARTITION BY s) AS rep FROM sets",
+    "column_similarities": (f"WITH ratings AS ({RATINGS}), "
+                            "norms AS (SELECT item_id, sqrt(SUM(CAST(rating AS DOUBLE) * rating)) AS norm FROM ratings GROUP BY 1), "
+                            "g AS (SELECT sqrt(4.0 * ln(COUNT(*)) / 0.1) AS g FROM norms), "
+                            "kept AS (SELECT user_id, item_id, rating / least(g, norm) AS w FROM ratings JOIN norms USING (item_id) CROSS JOIN g "
+                            f"WHERE {fold(['user_id', 'item_id'], 1 << 20, 'dimsum')} < ceil(least(1.0, g / norm) * {1 << 20})) "
+                            "SELECT a.item_id AS a, b.item_id AS b, round_even(SUM(a.w * b.w), 6) AS cosine FROM kept a JOIN kept b "
+                            "ON a.user_id = b.user_id AND a.item_id < b.item_id GROUP BY 1, 2 HAVING SUM(a.w * b.w) >= 0.1"),
+    "top_cosine_query_set": (f"WITH {EMB}, s AS (SELECT a.vec_id AS query, b.vec_id AS item_id, list_dot_product(a.v, b.v) / "
+                             "(sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS score FROM emb a JOIN emb b "
+                             "ON a.vec_id < 50 AND a.vec_id <> b.vec_id), "
+                             "r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, item_id) AS INT) AS rank FROM s) "
+                             "SELECT query, item_id, round_even(score, 6) AS score, rank FROM r WHERE rank <= 10"),
+    "euclidean_to_query": (f"WITH {EMB}, s AS (SELECT b.vec_id AS item_id, list_distance(a.v, b.v) AS dist FROM emb a JOIN emb b "
+                           "ON a.vec_id = 0 AND b.vec_id <> 0), "
+                           "r AS (SELECT *, CAST(row_number() OVER (ORDER BY dist, item_id) AS INT) AS rank FROM s) "
+                           "SELECT item_id, round_even(dist, 6) AS dist, rank FROM r WHERE rank <= 10"),
+    "lsh_vector_pairs": ("WITH v AS (SELECT MIN(p_partkey) AS k, [CAST(p_retailprice AS DOUBLE), CAST(p_size AS DOUBLE)] AS v FROM part GROUP BY 2) "
+                         "SELECT a.k AS a, b.k AS b, round_even(list_distance(a.v, b.v), 6) AS dist FROM v a JOIN v b "
+                         "ON a.k < b.k WHERE list_distance(a.v, b.v) <= 1.05"),
+    "item_item_cosine_set": f"WITH ratings AS ({RATINGS}), {COSINE_SET.format(user='user_id', item='item_id')}",
+    "user_user_cosine_set": f"WITH ratings AS ({RATINGS}), {COSINE_SET.format(user='item_id', item='user_id')}",
+    "centred_entries": (f"WITH {SPLIT}, {CENTRED.format(of='train')}, users AS (SELECT DISTINCT user_id FROM train) "
+                        "SELECT p.item_id, p.user_id, CASE WHEN users.user_id IS NOT NULL THEN round_even(COALESCE(t.rating, 0) - m, 9) END AS value "
+                        "FROM test p LEFT JOIN means USING (item_id) LEFT JOIN train t ON t.user_id = p.user_id AND t.item_id = p.item_id "
+                        "LEFT JOIN users ON users.user_id = p.user_id"),
+    "scaled_inner_products": (f"WITH ratings AS ({RATINGS}), {CENTRED.format(of='ratings')}, "
+                              "dots AS (SELECT a.item_id AS a, SUM(a.rating * b.rating) AS dot FROM ratings a JOIN ratings b "
+                              "ON a.user_id = b.user_id AND b.item_id = a.item_id + 1 GROUP BY 1) "
+                              "SELECT x.item_id AS a, y.item_id AS b, round_even(COALESCE(dot, 0) / (SELECT n FROM nu) - x.m * y.m, 9) AS cov "
+                              "FROM means x JOIN means y ON y.item_id = x.item_id + 1 LEFT JOIN dots ON dots.a = x.item_id"),
+    "missing_keys_by_item": f"WITH {ITEM_SPLIT} SELECT item_id FROM pairs EXCEPT SELECT item_id FROM train",
+    "repair_items_by_item": REPAIR.replace(TIME_SPLIT, ITEM_SPLIT),
+})
