@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from tessera.functions.text import explode_terms
 from tessera.operators.textstats import most_common, word_freq
 
+MAX_CLASSES = 10_000
+BROADCAST_ROWS = 200_000
+
 
 def vocabulary(clean_tokens: DataFrame, size: int = 2000, col: str = "tokens") -> DataFrame:
     """The ``size`` most frequent cleaned words, ``(rank, word, n)``."""
@@ -52,11 +55,13 @@ def fit_nb(present: DataFrame, labelled_docs: DataFrame, vocab: DataFrame, smoot
     """Train on presence rows of the training documents.
 
     ``labelled_docs`` is ``(doc_id, label)`` of the training documents.
-    The class list is collected (its size is the number of classes).
+    The class list is collected; more than ``MAX_CLASSES`` classes raise.
     """
     per_class = labelled_docs.groupBy(label).agg(F.count(F.lit(1)).alias("n_docs"))
-    classes = sorted(r[0] for r in per_class.select(label).collect())
+    classes = sorted(r[0] for r in per_class.select(label).limit(MAX_CLASSES + 1).collect())
     n_classes = len(classes)
+    if n_classes > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
     vocab_size = vocab.count()
     counts = class_word_counts(present, label)
     total = F.sum("n_docs").over(Window.partitionBy(F.lit(0)))
@@ -77,6 +82,11 @@ def fit_nb(present: DataFrame, labelled_docs: DataFrame, vocab: DataFrame, smoot
     return NBModel(classes, stats, theta, vocab_size)
 
 
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` broadcast if its known number of rows is small; else Spark chooses."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def nb_scores(model: NBModel, present: DataFrame, docs: DataFrame, label: str = "label",
               doc_id: str = "doc_id") -> DataFrame:
     """Log score per ``(doc_id, label)`` for the documents in ``docs``."""
@@ -84,7 +94,7 @@ def nb_scores(model: NBModel, present: DataFrame, docs: DataFrame, label: str =
             .join(F.broadcast(model.class_stats.select(label, (F.col("log_prior") + F.col("sum_log_absent"))
                                                        .alias("base"))), label))
     delta = (present.select(doc_id, "word")
-             .join(F.broadcast(model.theta.select(label, "word", (F.col("log_t") - F.col("log_f")).alias("d"))),
+             .join(_sent(model.theta.select(label, "word", (F.col("log_t") - F.col("log_f")).alias("d")), len(model.classes) * model.vocab_size),
                    "word")
              .groupBy(doc_id, label).agg(F.sum("d").alias("d")))
     return (base.join(delta, [doc_id, label], "left")

@@ -68,8 +68,10 @@ def cross_validate(df: DataFrame, fit_predict: Callable[[DataFrame, DataFrame],
     """H3: k-fold cross-validation with key-hash folds.
 
     ``fit_predict(train, test)`` returns ``test`` with a ``prediction`` column.
-    Each fold's metrics are computed by one aggregate job; fit and test times
-    are measured around actions (``noop`` writes), not lazy calls.
+    Each fold's metrics are computed by one aggregate job. ``fit_time`` is what
+    ``fit_predict`` takes to return, ``test_time`` the metrics job; work that
+    ``fit_predict`` leaves lazy counts as test time. Models that fit all folds at
+    once (``factors.factors_cv``, ``factors.cv_copies``) need no such loop.
     Returns ``(fold, rmse, mae, fit_time, test_time)``.
     """
     spark = df.sparkSession

@@ -40,11 +40,6 @@ def labelled_documents(spark: SparkSession, sf_dir: str, label_col: str = "quali
     return docs.join(labels, "doc_id")
 
 
-def item_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items with metadata: the part table."""
-    return load(spark, sf_dir, "part")
-
-
 def embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense vectors ``(item_id, vec ARRAY<DOUBLE>, label)`` from ``embeddings``."""
     return load(spark, sf_dir, "embeddings").select(

@@ -28,3 +28,22 @@ def test_predict_pairs_stream(spark):
     q.stop()
     got = {(r.user_id, r.item_id): r.prediction for r in spark.read.parquet(d + "/out").collect()}
     assert got == {(1, 2): 4, (9, 9): 1}
+
+
+def test_stream_answers_do_not_depend_on_its_cuts(spark, tmp_path):
+    """The same pairs in one batch and in two; with the user fallback an answer may differ, as documented."""
+    train = spark.createDataFrame([(1, 1, 4), (5, 5, 2)], "user_id bigint, item_id bigint, rating int")
+    pairs = [(1, 2), (1, 90), (5, 6)]
+    out = {}
+    for name, cuts in (("one", [pairs]), ("two", [pairs[:1], pairs[1:]])):
+        for k, part in enumerate(cuts):
+            spark.createDataFrame(part, "user_id bigint, item_id bigint").coalesce(1).write.parquet(str(tmp_path / name / f"in{k}"))
+        for fallback in (False, True):
+            stream = spark.readStream.schema("user_id bigint, item_id bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name / "in*"))
+            at = str(tmp_path / f"{name}{fallback}")
+            q = predict_pairs_stream(stream, train, at + "/out", at + "/ck", user_fallback=fallback)
+            q.processAllAvailable()
+            q.stop()
+            out[name, fallback] = {(r.user_id, r.item_id): r.prediction for r in spark.read.parquet(at + "/out").collect()}
+    assert out["one", False] == out["two", False] == {(1, 2): 4, (1, 90): 1, (5, 6): 2}
+    assert out["one", True] == {(1, 2): 4, (1, 90): 4, (5, 6): 2} and out["two", True][1, 90] == 1
