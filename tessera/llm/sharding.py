@@ -10,7 +10,8 @@ changed; a shard that is added as a new region takes keys only into itself.
 The law is ``key``: the id and the tree decide. Equal texts are not looked at.
 Null ids are one key; repeated ids go to one shard. Slots number a shard's rows
 by (bucket of the id's hash, id, crc, size) without gaps; no task sees a whole
-shard. Columns other than the id and the text are ignored. An empty table
+shard. Rows of an id with more than ``ROWS_PER_BUCKET`` of them are dealt over
+all buckets by their place in the written table. Columns other than the id and the text are ignored. An empty table
 gives no rows.
 """
 
@@ -74,13 +75,16 @@ def shard_rows(docs: DataFrame, tree: dict, grown: dict, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.length(text) + 1).cast("long").alias("size"),
                        F.crc32(text).alias("text_crc32"))
     rows = place(place(rows, tree, "doc_id", "shard"), grown, "doc_id", "grown_shard")
-    rows = written(rows, "placed")
+    rows = written(rows, "placed").select("*", F.xxhash64("_metadata.file_name", "_metadata.row_index").alias("place"))
     buckets = max(1, rows.count() // ROWS_PER_BUCKET)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    # fewer than one id for each ROWS_PER_BUCKET rows
+    hot = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > ROWS_PER_BUCKET).select(F.col("doc_id").alias("hot_id"), F.lit(True).alias("hot"))
+    rows = rows.join(hot, rows["doc_id"].eqNullSafe(hot["hot_id"]), "left")
+    rows = rows.withColumn("bucket", F.pmod(F.when(F.col("hot"), F.col("place")).otherwise(F.xxhash64("doc_id")), F.lit(buckets)))
     counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    order = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
+    order = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size", "place")
     return (rows.withColumn("at", F.row_number().over(order) - 1).join(starts, ["shard", "bucket"])
             .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
                     (F.col("start") + F.col("at")).alias("slot"), "grown_shard"))

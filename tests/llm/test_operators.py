@@ -210,6 +210,20 @@ def test_sharding(spark, odd):
     assert sharding.shard_rows(empty(spark), tree, tree).count() == 0
 
 
+def test_sharding_of_a_repeated_id(spark, monkeypatch):
+    """An id, and no id, with thousands of rows: slots without gaps, and no bucket holds the rows of one id."""
+    monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", 500)
+    tree = sharding.uniform_tree(2, 2, 1)
+    rows = spark.range(9000).select(F.when(F.col("id") < 3000, 7).when(F.col("id") >= 3100, F.col("id")).alias("doc_id"), F.lit("t").alias("text"))
+    rows = rows.unionByName(rows.filter("doc_id is null").limit(50)).unionByName(spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text")))
+    got = sharding.shard_rows(rows, tree, sharding.grown_tree(tree)).toPandas()
+    assert len(got) == 11050 and got["doc_id"].isna().sum() == 2150
+    for _, part in got.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    mine = got[got["doc_id"] == 7].sort_values("slot")
+    assert mine["shard"].nunique() == 1 and (mine["slot"].diff().dropna() > 1).sum() > 5      # spread over the shard
+
+
 def test_shard_weights(spark):
     tree = {0: {0: {0: 3.0, 1: 1.0}}, 1: {0: {2: 4.0}}}
     heavier = {0: {0: {0: 3.0, 1: 1.0}}, 1: {0: {2: 8.0}}}
