@@ -4,10 +4,11 @@ Two models of order four over the letters' bytes (A-Z folded, runs of anything
 else one blank), one of toxic and one of ordinary texts, share their backoff:
 below the class's four-byte counts stand continuation counts (distinct left
 neighbours) of both classes together, down to single bytes. An expression
-counts once a text, in the counts and in the score, so repeated words and
-lines don't weigh more. A text's score compares the length-normalised
-log-likelihoods under both models (per distinct expression), calibrated on
-labelled rows that the counts leave out.
+counts once a text in the counts, so repeated words and lines don't weigh more.
+A text's score compares the log-likelihoods under both models, normalised by
+length, of every stretch of ``STRETCH`` letters and takes the most toxic one (a
+shorter text is one stretch): a few toxic words tell in a text of any length.
+It is calibrated on labelled rows that the counts leave out at first.
 
 The discount is the same relative frequency in both classes, so an expression
 that is rare backs off in both and cancels: ``discount`` texts in the smaller
@@ -36,9 +37,10 @@ from pyspark.sql.window import Window
 
 from tessera.llm.labelled import draw, labelled_texts, learning_labels, platt, sigmoid
 from tessera.llm.shared import forget, written
-from tessera.llm.textarrays import LETTERS, chunks
+from tessera.llm.textarrays import LETTERS, chunks, ragged
 
 ORDER = 4          # bytes of an expression
+STRETCH = 32       # letters a likelihood is compared over
 LOWER = 0.75       # discount of the shared continuation counts
 BLANK = 0x20
 SLICE = 1 << 22    # expressions sent to the tasks in one table (12 bytes each, contexts besides)
@@ -56,22 +58,28 @@ def letter_stream(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return b[at], np.searchsorted(off, at, "right") - 1
 
 
-def expressions(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(packed last ORDER bytes, text index) of every distinct expression of each text.
+def in_order(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(packed last ORDER bytes, text index) of every place of each text.
 
     The newest byte is the lowest; a text is preceded by blanks.
     """
     if not len(buf):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     b, doc = letter_stream(buf, off)
-    packed = doc.astype(np.uint64) << np.uint64(8 * ORDER)
+    packed = np.zeros(len(b), np.uint32)
     for i in range(ORDER):
-        back = np.full(len(b), BLANK, np.uint64)
-        back[i:] = b[:len(b) - i]
+        back = np.full(len(b), BLANK, np.uint32)
+        back[i:] = b[:max(len(b) - i, 0)]
         if i:
             back[i:][doc[i:] != doc[:-i]] = BLANK
-        packed |= back << np.uint64(8 * i)
-    packed = np.unique(packed)
+        packed |= back << np.uint32(8 * i)
+    return packed, doc
+
+
+def expressions(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(packed last ORDER bytes, text index) of every distinct expression of each text."""
+    packed, doc = in_order(buf, off)
+    packed = np.unique((doc.astype(np.uint64) << np.uint64(8 * ORDER)) | packed)
     return (packed & np.uint64((1 << 8 * ORDER) - 1)).astype(np.int64), (packed >> np.uint64(8 * ORDER)).astype(np.int64)
 
 
@@ -118,23 +126,43 @@ class Model:
     offset: float = 0.0
 
     def ratios(self, column) -> np.ndarray:
-        """Log-likelihood ratio per distinct expression of every text."""
-        kept = [(i, j, *expressions(buf, off)) for i, j, buf, off in chunks(column)]
-        found = [np.zeros(len(gram)) for _, _, gram, _ in kept]
-        for sent in self.slices:
-            part = sent.value
-            for (_, _, gram, _), r in zip(kept, found):
-                mine = slice(None) if len(self.slices) == 1 else (gram >= part.first) & (gram < part.end)
-                r[mine] = part.of(gram[mine])
-            if len(self.slices) > 1:
+        """Log-likelihood ratio a letter of the most toxic stretch of every text."""
+        if len(self.slices) == 1:
+            of = self.slices[0].value.of
+        else:
+            known = [np.unique(in_order(buf, off)[0]) for _, _, buf, off in chunks(column)] if self.slices else []
+            known = np.unique(np.concatenate(known)).astype(np.int64) if known else np.zeros(0, np.int64)
+            found = np.zeros(len(known))
+            for sent in self.slices:
+                part = sent.value
+                mine = slice(*np.searchsorted(known, [part.first, part.end]))
+                found[mine] = part.of(known[mine])
                 unload(sent)
+
+            def of(gram):
+                return found[np.searchsorted(known, gram)] if len(known) else np.zeros(len(gram))
         out = []
-        for (i, j, _, doc), r in zip(kept, found):
-            n = np.bincount(doc, minlength=j - i)
-            out.append(np.bincount(doc, r, minlength=j - i) / np.maximum(n, 1))
+        for i, j, buf, off in chunks(column):
+            gram, doc = in_order(buf, off)
+            u, back = np.unique(gram, return_inverse=True)
+            out.append(most_toxic(of(u.astype(np.int64))[back], doc, j - i))
         return np.concatenate(out) if out else np.zeros(0)
 
 
+def most_toxic(ratio: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """The largest mean of ``STRETCH`` neighbouring ratios of each of ``n`` texts, of all if a text has fewer, 0 if none."""
+    sums = np.concatenate([[0.0], np.cumsum(ratio)])
+    first, last = (np.searchsorted(doc, np.arange(n), side) for side in ("left", "right"))
+    size = last - first
+    out = (sums[last] - sums[first]) / np.maximum(size, 1)
+    long = np.flatnonzero(size > STRETCH)
+    if len(long):
+        per = size[long] - STRETCH + 1
+        at = ragged(first[long], per)
+        out[long] = np.maximum.reduceat((sums[at + STRETCH] - sums[at]) / STRETCH, np.cumsum(per) - per)
+    return out
+
+
 def unload(sent):
     """Let a task drop a broadcast value; it is read again from the executor's file when asked for."""
     if getattr(sent, "_path", None) is not None and TaskContext.get() is not None:
@@ -253,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, label_col: str = "toxic",
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ratio, score) of every row: log-likelihood ratio per word and calibrated probability of toxic."""
+    """(id, ratio, score) of every row: log-likelihood ratio a letter of the most toxic stretch and calibrated probability of toxic."""
     def task(batches):
         for batch in batches:
             r = model.ratios(batch.column(1))
