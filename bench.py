@@ -25,6 +25,8 @@ HEADLINE = [
     "tfidf_top_terms",
     "recommend_similar_parts",  # content-based recommendation
     "top_cosine_vectors",
+    "svd_top_cosine",           # item similarity notebook: truncated SVD on the implicit matrix
+    "item_cf_predictions",      # ratings from similar items
 ]
 
 

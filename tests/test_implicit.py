@@ -27,6 +27,12 @@ def blocks(request, monkeypatch):
     monkeypatch.setattr(implicit, "PIECE", 4 * request.param)
 
 
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(implicit, "BLOCK", 16)
+    monkeypatch.setattr(implicit, "PIECE", 64)
+
+
 def local_matrix(d):
     return {r["b"]: np.frombuffer(r["data"]).reshape(-1, d.p) for r in d.blocks.collect()}
 
@@ -70,11 +76,11 @@ def spread(rows, cols, seed=1):
     return x
 
 
-def test_svd_equals_numpy(spark, blocks):
+def test_svd_equals_numpy(spark, small_blocks):
     x = spread(60, 80)
     c = (x - x.mean(axis=1, keepdims=True)).T / np.sqrt(59)
     _, s, vt = np.linalg.svd(c, full_matrices=False)
-    res = factors.item_factors_svd(triples(spark, x), k=3, iters=40)
+    res = factors.item_factors_svd(triples(spark, x), k=3, iters=25)
     got = {r.item_id: r.vec for r in res.factors.collect()}
     assert np.allclose(res.singular_values, s[:3]) and np.allclose(res.eigenvalues, s[:3] ** 2 * 59 / 80)
     assert up_to_sign(np.array([got[BIG + 3 * i] for i in range(60)]), vt[:3].T)
@@ -82,11 +88,11 @@ def test_svd_equals_numpy(spark, blocks):
     assert all(len(r.vec) == 2 and r.vec == got[r.item_id][:2] for r in two)
 
 
-def test_covariance_pca_equals_numpy(spark, blocks):
+def test_covariance_pca_equals_numpy(spark, small_blocks):
     x = spread(60, 80)
     cov = np.cov(x - x.mean(axis=1, keepdims=True), bias=True)
     u, s, vt = np.linalg.svd(cov - cov.mean(axis=0), full_matrices=False)
-    found, values = implicit.covariance_pca(implicit.centred_matrix(triples(spark, x)), k=3, iters=40)
+    found, values = implicit.covariance_pca(implicit.centred_matrix(triples(spark, x)), k=3, iters=15)
     got = {r.item_id: r.factors for r in found.collect()}
     assert np.allclose(values, s[:3])
     assert up_to_sign(np.array([got[BIG + 3 * i] for i in range(60)]) / s[:3], u[:, :3])
