@@ -24,6 +24,7 @@ from tessera.session import ensure_checkpoint_dir
 HOT = 64        # own vectors of a bucket that are paired as they are
 START, STEP, MOST = 4, 4, 20     # projections of a table: at first, more per split, at most
 PROBES = 3      # neighbouring cells probed at first
+SPLIT_PROBES = 2     # and at each split
 
 
 def hashed(vectors: DataFrame, width: int, bucket_length: float, tables: int, seed: int) -> DataFrame:
@@ -74,7 +75,7 @@ def bucket_members(entries: DataFrame) -> DataFrame:
         if depth >= MOST or sizes.filter(F.col("n") > HOT).isEmpty():
             return done
         hot = joined.filter(F.col("n") > HOT).select("key", "table", "cells", "steps", "order", "own")
-        open_ = widened(hot, depth, depth + STEP, 1).checkpoint()
+        open_ = widened(hot, depth, depth + STEP, SPLIT_PROBES).checkpoint()
         depth += STEP
 
 
