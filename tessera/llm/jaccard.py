@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.idfilter import id_filter, passes
 from tessera.llm.shared import forget, forget_since, live, written
-from tessera.llm.textarrays import (NOT_SPACE, byte_table, chunks, hash_runs, mix, ragged, runs,
+from tessera.llm.textarrays import (NOT_SPACE, byte_table, chunks, hash_runs, mix, ragged, release, runs,
                                     shingle_hashes)
 
 GROWTH = 1.25          # ratio of the sizes a band spans
@@ -136,6 +136,7 @@ def features(docs: DataFrame, k: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bits, pa.binary()),
                  pa.array(prefix, pa.list_(pa.int64()))], names=["id", "n", "print", "bits", "prefix"])
+        release()
     return docs.mapInArrow(task, FEATURES)
 
 
@@ -189,6 +190,7 @@ def shingle_arrays(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 arrays = [u.view(np.int64) for _, u, _ in shingle_sets(part.column(1), k)]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(arrays, pa.list_(pa.int64()))],
                                                  names=["id", "shingles"])
+        release()
     return docs.mapInArrow(task, "id long, shingles array<long>")
 
 
@@ -244,6 +246,7 @@ def exact_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
                         out[0].append(hub[r]), out[1].append(id_[r])
                         break
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["hub", "id"])
+        release()
     links = written(rows.mapInArrow(task, "hub long, id long"), "links")
     forget(arrays)
     return links
@@ -410,6 +413,7 @@ def block_survivors(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
                     held, at = [], (key, band, p, q)
                 held.append((own, id_, n, label, bits))
         yield from done()
+        release()
     return dealt.mapInArrow(task, "key long, band long, p int, q int, own int, hub long, id long")
 
 

@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 from tessera.llm.labelled import draw, labelled_texts, learning_labels, platt, sigmoid
 from tessera.llm.shared import forget, written
-from tessera.llm.textarrays import LETTERS, chunks, ragged
+from tessera.llm.textarrays import LETTERS, chunks, ragged, release
 
 ORDER = 4          # bytes of an expression
 STRETCH = 32       # letters a likelihood is compared over
@@ -287,6 +287,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             r = model.ratios(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(r), pa.array(sigmoid(model.slope * r + model.offset))],
                                              names=["id", "ratio", "score"])
+        release()
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")) \
         .mapInArrow(task, "id long, ratio double, score double")
 
@@ -297,4 +298,5 @@ def keep_clean(docs: DataFrame, model: Model, least: float = 0.7, text_col: str
         for batch in batches:
             r = model.ratios(batch.column(text_col))
             yield batch.filter(pa.array(sigmoid(model.slope * r + model.offset) < least))
+        release()
     return docs.mapInArrow(task, docs.schema)
