@@ -133,3 +133,22 @@ def test_stacked_cv_equals_single_fits(spark):
         part = folded.filter(F.col("fold") == f)
         single = rmse(factors.fit_factors(folded.filter(F.col("fold") != f).drop("fold"), rank=3, reg=0.05, iters=15), part)
         assert got[f].n == part.count() and abs(got[f].rmse - single) < 0.05 * single
+
+
+def test_products_broadcast_no_factor(spark, small_blocks, monkeypatch):
+    """A block is one row of megabytes that Spark takes for a hundred bytes: no join may send factors through the driver."""
+    plans, kept = [], implicit.kept
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+    monkeypatch.setattr(implicit, "kept", seen)
+    monkeypatch.setattr(implicit, "HELD", 512)      # several runs of blocks
+    x = sparse(50, 90)
+    c = x - x.mean(axis=1, keepdims=True)
+    m = implicit.centred_matrix(triples(spark, x))
+    q = m.random(4)
+    z = m.transpose_times(q)
+    assert np.allclose(whole(z), c.T @ whole(q)) and np.allclose(whole(m.times(z)), c @ c.T @ whole(q))
+    plans.append(q.rows(m.row_index, "item_id")._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 4 and not any("Broadcast" in p for p in plans)
