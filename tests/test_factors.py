@@ -113,3 +113,13 @@ def test_svd_matches_numpy(spark):
     v = np.array([got[i] for i in items])
     for j in range(3):
         assert abs(abs(v[:, j] @ vt[j]) - 1) < 1e-6
+
+
+def test_stacked_models_have_blocks_of_their_own(spark):
+    """ALS deals positions by remainder: no block of a stacked fit holds two groups, and no two ids share a position."""
+    from tessera.operators import factors
+    ids = [(g, u, i) for g in range(3) for u, i in zip(range(7), (3, 1, 0, 6, 2, 5, 4))]
+    index = spark.createDataFrame([(x, x) for x in range(7)], "id long, at long")
+    placed = factors.positions(spark.createDataFrame(ids, "g int, u long, i long"), index.toDF("u", "at"), index.toDF("i", "at"), "u", "i", ["g"], 2, 3).collect()
+    for col in ("__u", "__i"):
+        assert len({r[col] for r in placed}) == 21 and all(r[col] % 6 // 2 == r["g"] for r in placed)
