@@ -152,3 +152,18 @@ def test_products_broadcast_no_factor(spark, small_blocks, monkeypatch):
     assert np.allclose(whole(z), c.T @ whole(q)) and np.allclose(whole(m.times(z)), c @ c.T @ whole(q))
     plans.append(q.rows(m.row_index, "item_id")._jdf.queryExecution().executedPlan().toString())
     assert len(plans) == 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_sub_epoch_is_one_shuffle(spark, monkeypatch):
+    """User and item blocks and the ratings they share meet by one exchange, each user block in a partition of its own."""
+    plans, kept = [], sgd.kept
+
+    def seen(df):
+        plans.append((df._jdf.queryExecution().executedPlan().toString(), df))
+        return kept(df)
+    monkeypatch.setattr(sgd, "kept", seen)
+    ratings = spark.createDataFrame([(u, i, 1 + (u * i) % 5) for u in range(20) for i in range(15)], "user_id long, item_id long, rating int")
+    model = sgd.fit_sgd(ratings, rank=3, epochs=1, blocks=3)
+    subs = [p.split("Initial Plan")[0] for p, _ in plans[2:]]
+    assert len(subs) == 3 and all(p.count("Exchange") == 1 and "Join" not in p for p in subs)
+    assert model.transform(ratings).filter("prediction is not null").count() == 300
