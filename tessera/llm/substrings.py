@@ -34,11 +34,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.idfilter import bits_for, id_filter, passes
 from tessera.llm.shared import forget, written
-from tessera.llm.textarrays import NOT_SPACE, byte_table, chunks, hash_runs, ragged, runs, shingle_hashes
+from tessera.llm.textarrays import NOT_SPACE, byte_table, chunks, hash_runs, ragged, release, runs, shingle_hashes
 
 RUN = 62                 # windows of a packed string at most: a bit each of one long
 PART = 4 << 20           # bytes of packed strings of a bucket that isn't dealt in parts, and of a part on average
 TOGETHER = 8 << 20       # bytes of packed strings sorted at a time
+GATHERED = 1 << 16       # words gathered at a time
 
 
 class Windows:
@@ -91,7 +92,8 @@ class Windows:
 def word_ranks(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The same number for equal words, by their bytes."""
     sizes = ends - starts
-    data = buf[ragged(starts, sizes)]
+    # some words at a time: a byte takes eight to address
+    data = np.concatenate([buf[ragged(starts[lo:lo + GATHERED], sizes[lo:lo + GATHERED])] for lo in range(0, max(len(sizes), 1), GATHERED)])
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
     return words.dictionary_encode().indices.to_numpy().astype(np.int64)
@@ -159,6 +161,7 @@ def shared_minimisers(rows: DataFrame, k: int, m: int) -> DataFrame:
             for _, _, buf, off in chunks(batch.column(0)):
                 value, weight = Windows(buf, off, k, m).weights()
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(weight.astype(np.int64))], names=["value", "n"])
+        release()
     counted = rows.select("text").mapInArrow(task, "value long, n long")
     return counted.groupBy("value").agg(F.sum("n").alias("n")).filter("n > 1").select("value")
 
@@ -180,6 +183,7 @@ def packed_strings(rows: DataFrame, chosen, k: int, m: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(w.value[part].view(np.int64)), ids.take(doc), hashes.take(doc),
                                                       pa.array(w.start[part]), pa.array(data, pa.binary())],
                                                      names=["value", "id", "text_hash", "start", "packed"])
+        release()
     return rows.select("id", "text_hash", "text").mapInArrow(task, PACKED)
 
 
@@ -197,6 +201,7 @@ def dealt_parts(strings: DataFrame, k: int) -> DataFrame:
                 own, sub = pairs[:, lo:lo + 8192]
                 some = batch.take(pa.array(own))
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(sub)], names=["value", "packed", "n", "digest", "parts", "sub"])
+        release()
     return strings.mapInArrow(task, "value long, packed binary, n long, digest binary, parts long, sub long")
 
 
@@ -241,6 +246,8 @@ def counted_windows(strings: DataFrame, k: int) -> DataFrame:
                 size += int(done[-1] - (done[lo - 1] if lo else 0))
         if held:
             yield judged(held)
+        held = []
+        release()
     masks = buckets.mapInArrow(task, "digest binary, mask long")
     return masks.groupBy("digest").agg(F.bit_or("mask").alias("mask"))
 
@@ -288,6 +295,7 @@ def drop_repeats(docs: DataFrame, k: int = 35, m: int = 5, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
                                                   pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                                                   pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "spans", "kept"])
+        release()
     return some.unionByName(rest).mapInArrow(task, RESULT)
 
 

@@ -84,3 +84,22 @@ def test_empty_and_sql(spark):
     empty = hashlib.sha256(b"").hexdigest()
     assert all(len(r.kept_sha256) == 64 and (r.kept_sha256 == empty) == (r.n_words == r.n_removed)
                for r in ent.queries()["op12_substrings"](spark, sf).collect())
+
+
+def test_ranks_gather_words_in_parts():
+    """Addresses of bytes take eight times the bytes: only some words' are there at a time."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tessera.llm import substrings
+    n, size = 200_000, 30
+    buf = np.random.default_rng(0).integers(97, 100, n * size).astype(np.uint8)
+    buf[:size] = buf[-size:]
+    starts = np.arange(n) * size
+    tracemalloc.start()
+    ranks = substrings.word_ranks(buf, starts, starts + size)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ranks) == n and ranks[0] == ranks[-1] and len(np.unique(ranks)) == n - 1
+    assert peak < 8 * len(buf)
