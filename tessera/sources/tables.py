@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+ROWS_A_TASK = 1 << 19   # order lines that a task joins and aggregates where there are many
+FEW_TASKS = 8           # as many tasks' lines are few: Spark plans them as it likes
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet table ``name`` of a scale-factor folder."""
@@ -23,14 +26,22 @@ def ratings_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     ceil(avg(quantity)/10) in 1..5.
 
     Plan: lineitem and orders are joined on the order key (shuffle join at
-    scale, broadcast when AQE sees a small side), then one partial+final hash
-    aggregate on (customer, part).
+    scale, broadcast when AQE sees a small side), then one hash aggregate on
+    (customer, part). Many lines are dealt over as many tasks as hold
+    ``ROWS_A_TASK`` each (their number is read from the files' footers), so a
+    task's sorts and hash maps don't grow with the tables.
     """
     li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     od = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return (li.join(od, li.l_orderkey == od.o_orderkey)
-            .groupBy(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"))
-            .agg(F.ceil(F.avg("l_quantity") / 10).cast("int").alias("rating")))
+    tasks = max(li.count(), od.count()) // ROWS_A_TASK + 1
+    many = tasks > FEW_TASKS
+    if many:
+        li, od = li.repartition(tasks, "l_orderkey"), od.repartition(tasks, "o_orderkey")
+    lines = (li.join(od, li.l_orderkey == od.o_orderkey)
+             .select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), "l_quantity"))
+    if many:
+        lines = lines.repartition(tasks, "user_id", "item_id")
+    return lines.groupBy("user_id", "item_id").agg(F.ceil(F.avg("l_quantity") / 10).cast("int").alias("rating"))
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str, label_col: str = "quality") -> DataFrame:
