@@ -38,3 +38,16 @@ def test_ratings_tasks_grow_with_the_lines(spark, orders, monkeypatch):
     many = tables.ratings_from_orders(spark, orders)
     assert len(want) > 300 and rows(many) == want
     assert many.rdd.getNumPartitions() == 31
+
+
+def test_lsh_join_is_sparks_join_without_all_bucket_pairs(spark):
+    pts = spark.range(900).select("id", F.array((F.col("id") % 30).cast("double"), F.floor(F.col("id") / 30) * 0.9).alias("v"))
+    a, b = pts.filter("id % 3 <> 0"), pts.filter("id % 3 = 0")
+    for tables_, length in ((1, 2.0), (3, 1.0), (4, 5.0)):
+        got = lsh_similarity_join(a, b, 1.5, "v", length, tables_, 7, ["id", "v"], ["id"])
+        va, vb = (x.withColumn("v", array_to_vector("v")) for x in (a, b))
+        model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables_, seed=7).fit(va)
+        want = model.approxSimilarityJoin(va, vb, 1.5, "dist").select("datasetA.id", "datasetA.v", "datasetB.id", "dist")
+        assert got.columns == ["a_id", "a_v", "b_id", "dist"]
+        assert sorted((x[0], x[1], x[2], round(x[3], 9)) for x in got.collect()) == sorted((x[0], x[1], x[2], round(x[3], 9)) for x in want.collect())
+        assert "Aggregate" not in plan(got)
