@@ -121,7 +121,8 @@ def with_mean(df: DataFrame, mu: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fit_baseline(ratings: DataFrame, reg_item: float = 10.0, reg_user: float = 15.0, by: list[str] | None = None,
-                 user: str = "user_id", item: str = "item_id", rating: str = "rating") -> Baseline:
+                 user: str = "user_id", item: str = "item_id", rating: str = "rating",
+                 held_out: tuple[str, int] | None = None) -> Baseline:
     """Global mean plus damped item and user offsets:
     b_i = sum(r - mu) / (reg_item + n_i);  b_u = sum(r - mu - b_i) / (reg_user + n_u).
 
@@ -129,8 +130,14 @@ def fit_baseline(ratings: DataFrame, reg_item: float = 10.0, reg_user: float = 1
     in the same plan. All three are hash aggregates with map-side combine; the
     groups' means are read once, the offsets are persisted, and hot items and
     users are salted where offsets are joined back.
+
+    With ``held_out`` (a column of folds 0 to k - 1, and k) ``by`` names the one
+    column of the k models: model f is fitted to the rows of all folds but f, as
+    if to the copies of :func:`cv_copies`, but every row moves once.
     """
     by = list(by or [])
+    if held_out:
+        return _fit_without_folds(ratings, *held_out, reg_item, reg_user, by[0], user, item, rating)
     r = F.col(rating).cast("double")
     mu = ratings.groupBy(*by).agg(F.avg(r).alias("mu"), F.count(F.lit(1)).alias("n"))
     groups = mu.collect()
@@ -145,6 +152,44 @@ def fit_baseline(ratings: DataFrame, reg_item: float = 10.0, reg_user: float = 1
     return Baseline(mu, b_item, b_user, by, user, item, n)
 
 
+def _fit_without_folds(ratings: DataFrame, fold: str, k: int, reg_item: float, reg_user: float, name: str,
+                       user: str, item: str, rating: str) -> Baseline:
+    """The k models of :func:`fit_baseline` with ``held_out``: what a model sums over the rows outside its fold is the sum
+    over all rows less that over the fold, or one of k sums of the same row."""
+    r = F.col(rating).cast("double")
+    totals = (F.sum(r).alias("s"), F.count(r).alias("c"), F.count(F.lit(1)).alias("n"))
+    found = {g[fold]: g for g in ratings.groupBy(fold).agg(*totals).collect()}
+
+    def outside(f: int, of: str):
+        return sum(g[of] or 0 for at, g in found.items() if at != f)
+    means = [(f, outside(f, "s") / outside(f, "c") if outside(f, "c") else None, outside(f, "n")) for f in range(k) if outside(f, "n")]
+    mu = ratings.sparkSession.createDataFrame(means, f"{name} int, mu double, n bigint")
+    n = sum(m[2] for m in means)
+    mus = {f: F.lit(m).cast("double") for f, m, _ in means}
+    folds = list(mus)
+
+    def exploded(per_key: DataFrame, key: str, offset: str, count: str) -> DataFrame:
+        """One row a model and key, as :class:`Baseline` has them; keys without rows outside a fold are unknown to its model."""
+        rows = F.explode(F.array(*[F.struct(F.lit(f).alias(name), F.col("b")[i].alias(offset), F.col("ns")[i].alias(count)) for i, f in enumerate(folds)]))
+        return per_key.select(key, rows.alias("m")).select(f"m.{name}", key, f"m.{offset}", f"m.{count}").filter(F.col(count) > 0) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+
+    def left(of: str, f: int) -> Column:
+        return F.sum(of) - F.coalesce(F.sum(F.when(F.col(fold) == f, F.col(of))), F.lit(0))
+    parts = ratings.groupBy(item, fold).agg(*totals)
+    per_item = parts.groupBy(item).agg(
+        F.array(*[F.when(left("c", f) > 0, (left("s", f) - mus[f] * left("c", f)) / (reg_item + left("n", f))) for f in folds]).alias("b"),
+        F.array(*[left("n", f) for f in folds]).alias("ns"), F.sum("n").alias("n_all")).persist(StorageLevel.MEMORY_AND_DISK)
+    known = salted_join(ratings.select(user, item, rating, fold), per_item.select(item, "b"), [item],
+                        hot_keys(per_item, [item], "n_all", sum(g["n"] for g in found.values())), [user])
+    per_user = known.groupBy(user).agg(
+        *[F.sum(F.when(F.col(fold) != f, r - mus[f] - F.col("b")[i])).alias(f"s{i}") for i, f in enumerate(folds)],
+        *[F.count(F.when(F.col(fold) != f, 1)).alias(f"n{i}") for i, f in enumerate(folds)])
+    per_user = per_user.select(user, F.array(*[F.col(f"s{i}") / (reg_user + F.col(f"n{i}")) for i in range(len(folds))]).alias("b"),
+                               F.array(*[F.col(f"n{i}") for i in range(len(folds))]).alias("ns"))
+    return Baseline(mu, exploded(per_item, item, "b_i", "n_i"), exploded(per_user, user, "b_u", "n_u"), [name], user, item, n)
+
+
 def cv_copies(ratings: DataFrame, fold: str, k: int, name: str = "cv_fold") -> tuple[DataFrame, DataFrame]:
     """H3 in one plan: every row is copied into the k-1 training sets it
     belongs to (``explode``), and is the test row of its own fold.

@@ -394,9 +394,10 @@ def q_baseline(spark, d):
 
 @register("baseline_cv")
 def q_baseline_cv(spark, d):
-    folded = add_fold(ratings_from_orders(spark, d), KEYS, 5, salt="cv")
-    train, test = fx.cv_copies(folded, "fold", 5)
-    pred = fx.fit_baseline(train, by=["cv_fold"]).transform(test)
+    from pyspark import StorageLevel
+    folded = add_fold(ratings_from_orders(spark, d), KEYS, 5, salt="cv").persist(StorageLevel.MEMORY_AND_DISK)
+    _, test = fx.cv_copies(folded, "fold", 5)
+    pred = fx.fit_baseline(folded, by=["cv_fold"], held_out=("fold", 5)).transform(test)
     e = F.col("prediction") - F.col("rating")
     return pred.groupBy(F.col("cv_fold").alias("fold")).agg(
         F.count(F.lit(1)).alias("n"), F.bround(F.sqrt(F.avg(e * e)), 6).alias("rmse"),

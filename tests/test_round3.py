@@ -51,3 +51,16 @@ def test_lsh_join_is_sparks_join_without_all_bucket_pairs(spark):
         assert got.columns == ["a_id", "a_v", "b_id", "dist"]
         assert sorted((x[0], x[1], x[2], round(x[3], 9)) for x in got.collect()) == sorted((x[0], x[1], x[2], round(x[3], 9)) for x in want.collect())
         assert "Aggregate" not in plan(got)
+
+
+def test_held_out_baselines_are_those_of_copies(spark):
+    data = [(u, i, None if (u + i) % 17 == 0 else (u * 5 + i * 3) % 5 + 1, (u * 7 + i) % 4) for u in range(12) for i in range(9) if (u * i) % 4 != 1]
+    data += [(50, 60, 5, 2), (50, 61, 4, 2), (None, 1, 3, 0), (2, None, 2, 1), (3, 3, 1, 0), (3, 3, 1, 0)]
+    folded = spark.createDataFrame(data, "user_id long, item_id long, rating int, fold long")
+    train, test = cv_copies(folded, "fold", 4)
+    want = fit_baseline(train, by=["cv_fold"]).transform(test)
+    got = fit_baseline(folded, by=["cv_fold"], held_out=("fold", 4)).transform(test)
+
+    def plain(df):
+        return sorted(((x.user_id, x.item_id, x.rating, x.cv_fold, round(x.prediction, 9)) for x in df.collect()), key=str)
+    assert plain(got) == plain(want) and len(plain(got)) == len(data)
