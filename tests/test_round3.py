@@ -64,3 +64,20 @@ def test_held_out_baselines_are_those_of_copies(spark):
     def plain(df):
         return sorted(((x.user_id, x.item_id, x.rating, x.cv_fold, round(x.prediction, 9)) for x in df.collect()), key=str)
     assert plain(got) == plain(want) and len(plain(got)) == len(data)
+
+
+def test_column_similarities_of_heavy_rows_in_parts(spark, monkeypatch):
+    cells = [(r, c, (r * c) % 5 + 1) for r in range(8) for c in range(40) if (r + c) % 3 or r == 0] + [(9, 1, 2), (9, 1, 3), (None, 2, 1)]
+    ratings = spark.createDataFrame(cells, "user_id long, item_id long, rating int")
+    norm, want = {}, {}
+    known = [x for x in cells if x[0] is not None]
+    for _, c, x in known:
+        norm[c] = norm.get(c, 0) + x * x
+    for r, c, x in known:
+        for s, d, y in known:
+            if r == s and c < d:
+                want[c, d] = want.get((c, d), 0) + x * y / (norm[c] * norm[d]) ** 0.5
+    for size in (1000, 7):
+        monkeypatch.setattr(similarity, "PART", size)
+        got = {(x.a, x.b): x.cosine for x in similarity.column_similarities(ratings, 0.1).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
