@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,7 +86,8 @@ def repair_unknown(pairs: DataFrame, ratings: DataFrame, salt: str = "pick",
     raters = ratings.select(user).distinct()
     owners = (pairs.join(unknown, item, "left_semi").join(raters, user, "left_semi")
               .groupBy(item).agg(F.min(user).alias(user)))
-    ranked = owners.withColumn("pick", F.row_number().over(Window.partitionBy(user).orderBy(item)))
+    # one row an unknown item; read for the wanted numbers, the picks and the mapping
+    ranked = owners.withColumn("pick", F.row_number().over(Window.partitionBy(user).orderBy(item))).persist(StorageLevel.MEMORY_AND_DISK)
     wanted = ranked.groupBy(user).agg(F.count(F.lit(1)).alias("n"))
     picks = pick_known_items(ratings, wanted, salt, user, item)
     mapping = (ranked.join(picks.withColumnRenamed(item, "new"), [user, "pick"])

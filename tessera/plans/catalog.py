@@ -730,10 +730,14 @@ def q_sgd(spark, d):
 
 
 def item_split(spark, d):
-    """Ratings of all items but those of one hash fold of ten, and every fiftieth pair of any item: pairs of unknown items occur."""
-    ratings = ratings_from_orders(spark, d)
-    return ratings.filter(key_hash_bucket(["item_id"], 10, "new") != 0), \
-        ratings.filter(key_hash_bucket(KEYS, 50, "ask") == 0).select("user_id", "item_id")
+    """Ratings of all items but those of one hash fold of ten, and every fiftieth pair of any item: pairs of unknown items occur.
+
+    Ratings and hashes are made once and persisted (memory, spilling to disk): a repair reads both sides several times.
+    """
+    from pyspark import StorageLevel
+    ratings = ratings_from_orders(spark, d).withColumn("known", key_hash_bucket(["item_id"], 10, "new") != 0) \
+        .withColumn("asked", key_hash_bucket(KEYS, 50, "ask") == 0).persist(StorageLevel.MEMORY_AND_DISK)
+    return ratings.filter("known").drop("known", "asked"), ratings.filter("asked").select("user_id", "item_id")
 
 
 @register("missing_keys_by_item")

@@ -81,3 +81,11 @@ def test_column_similarities_of_heavy_rows_in_parts(spark, monkeypatch):
         monkeypatch.setattr(similarity, "PART", size)
         got = {(x.a, x.b): x.cosine for x in similarity.column_similarities(ratings, 0.1).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+def test_repair_reads_persisted_sides(spark, orders):
+    for side in catalog.item_split(spark, orders):
+        assert "InMemoryRelation" in plan(side)
+    train = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (2, 1)], "user_id long, item_id long")
+    pairs = spark.createDataFrame([(1, 9), (2, 9), (2, 8), (1, 2), (None, 7)], "user_id long, item_id long")
+    got = rows(clean.repair_unknown(pairs.withColumn("old", F.col("item_id")), train).select("user_id", "old", "item_id"))
+    new = {old: item for _, old, item in got}
+    assert len(got) == 5 and new[9] in (1, 2) and new[8] in (1, 3) and new[7] == 7 and new[2] == 2
