@@ -69,9 +69,10 @@ def word_degrees(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """
     toks = tokenize(text)
     marked = F.array_join(F.transform(toks, lambda w: F.when(is_breaker(w), F.lit("\n")).otherwise(w)), " ")
-    phrases = F.filter(F.split(marked, r"\s*\n\s*"), lambda p: F.length(F.trim(p)) > 0)
-    exploded = (explode_terms(docs, phrases, "phrase", doc_id)
-                .select(doc_id, F.split(F.trim("phrase"), " ").alias("words"))
+    # one plain character to split at, and trimming after the explode: neither a pattern nor a lambda runs over the phrases
+    exploded = (explode_terms(docs, F.split(marked, "\n"), "phrase", doc_id)
+                .select(doc_id, F.trim("phrase").alias("phrase")).filter(F.col("phrase") != "")
+                .select(doc_id, F.split("phrase", " ").alias("words"))
                 .select(doc_id, F.size("words").alias("plen"), F.explode("words").alias("word")))
     return exploded.groupBy(doc_id, "word").agg(F.sum("plen").cast("bigint").alias("degree"))
 
@@ -83,15 +84,18 @@ def key_words(docs: DataFrame, k: int = 10, text: str = "text", doc_id: str = "d
         .select(doc_id, (F.col("pos") + 1).alias("kw_rank"), "word")
 
 
-def tfidf(tokens: DataFrame, col: str = "tokens", doc_id: str = "doc_id") -> DataFrame:
+def tfidf(tokens: DataFrame, col: str = "tokens", doc_id: str = "doc_id", clean: bool = False) -> DataFrame:
     """``(doc_id, term, tf, df, tfidf)`` with idf = ln((N + 1) / (df + 1))
     (Spark ML's ``IDF`` formula). Term counts and document frequencies are
     both hash aggregates; the document count is one scalar aggregate. Terms
-    with a large share of the (document, term) rows are dealt over salts."""
+    with a large share of the (document, term) rows are dealt over salts. With
+    ``clean`` stop words and punctuation are left out here, after the explode,
+    in generated code (a lambda over the array is interpreted)."""
     from pyspark import StorageLevel
     # tf feeds both the scores and the document frequencies: persisted so the
     # corpus is tokenised once (memory, spilling to disk)
-    tf = (explode_terms(tokens, col, "term", doc_id)
+    terms = explode_terms(tokens, col, "term", doc_id)
+    tf = ((terms.filter(~is_breaker(F.col("term"))) if clean else terms)
           .groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
           .persist(StorageLevel.MEMORY_AND_DISK))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -239,7 +239,7 @@ def q_key_words(spark, d):
 
 @register("tfidf_top_terms")
 def q_tfidf(spark, d):
-    scored = ts.tfidf(doc_words(spark, d, True))
+    scored = ts.tfidf(doc_words(spark, d, False), clean=True)
     return ts.top_terms(scored, 5).select("doc_id", "rank", "term", "tf", "df",
                                           F.bround("tfidf", 6).alias("tfidf"))
 

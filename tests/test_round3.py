@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import clean, similarity
 from tessera.operators.factors import cv_copies, fit_baseline
 from tessera.operators.neighbors import lsh_similarity_join
+from tessera.operators.textstats import doc_tokens, tfidf, word_degrees
 from tessera.plans import catalog
 from tessera.sources import tables
 
@@ -89,3 +90,19 @@ def test_repair_reads_persisted_sides(spark, orders):
     got = rows(clean.repair_unknown(pairs.withColumn("old", F.col("item_id")), train).select("user_id", "old", "item_id"))
     new = {old: item for _, old, item in got}
     assert len(got) == 5 and new[9] in (1, 2) and new[8] in (1, 3) and new[7] == 7 and new[2] == 2
+
+
+def test_word_degrees_of_odd_breaks(spark):
+    docs = spark.createDataFrame([(1, "the, . red fox --  jumps, the"), (2, ""), (3, None), (4, "!! the of"), (5, " fox   red\n\nfox"), (1, "fox")],
+                                 "doc_id long, text string")
+    degrees = word_degrees(docs)
+    # the phrases are cut at one character, not by a pattern, and no lambda goes over them
+    assert "\\s*" not in plan(degrees)
+    got = {(r.doc_id, r.word): r.degree for r in degrees.collect()}
+    assert got == {(1, "red"): 2, (1, "fox"): 2 + 1, (1, "jumps"): 1, (5, "red"): 3, (5, "fox"): 3 + 3}
+
+
+def test_tfidf_leaves_breakers_out_after_the_explode(spark):
+    docs = spark.createDataFrame([(1, "the fox, the red fox"), (2, "the of."), (3, None), (4, "red -- red")], "doc_id long, text string")
+    want, got = rows(tfidf(doc_tokens(docs, clean=True))), rows(tfidf(doc_tokens(docs), clean=True))
+    assert got == want and {r[1] for r in got} == {"fox", "red"}
